@@ -34,8 +34,7 @@ def beta_fraction(a: float, b: float, x: float) -> float:
         value *= c * d
         if step and abs(1.0 - c * d) < 1e-15:
             break
-    # the first factor of the loop is c = 2, d = 1/2: one
-    return front * value / a
+    return front * (value - 1.0) / a
 
 
 def t_two_sided(t: float, df: float) -> float:

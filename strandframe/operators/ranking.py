@@ -75,6 +75,35 @@ def first_rows(
     return spread.withColumn("__r", last).filter(F.col("__r") <= n).drop("__s", "__r")
 
 
+def mark_first(
+    df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], n: Column, name: str = "first"
+) -> DataFrame:
+    """Adds boolean ``name``: the row is among the first ``n`` of its group.
+
+    ``n`` may differ per group. Buckets wholly before or after the border are
+    decided from a histogram; only the border bucket of a group is sorted.
+    """
+    rows = df.withColumn("__b", bucket)
+    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
+    marks = sizes.select(*group, "__b", F.sum("__n").over(w).alias("__upto"), "__n")
+    marks = marks.withColumn("__before", F.col("__upto") - F.col("__n")).drop("__n")
+    rows = _join_null_safe(rows, marks, [*group, "__b"]).withColumn("__want", n)
+    edge = (F.col("__before") < F.col("__want")) & (F.col("__upto") > F.col("__want"))
+    clear = rows.filter(~edge).select(*df.columns, (F.col("__upto") <= F.col("__want")).alias(name))
+    local = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order))
+    border = rows.filter(edge).withColumn("__r", local)
+    border = border.select(*df.columns, (F.col("__r") + F.col("__before") <= F.col("__want")).alias(name))
+    return clear.unionByName(border)
+
+
+def take_first(
+    df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], n: Column
+) -> DataFrame:
+    """Rows marked by ``mark_first``."""
+    return mark_first(df, group, bucket, order, n, "__first").filter("__first").drop("__first")
+
+
 def md5_bucket(order_key: Column | str, digits: int = 3) -> Column:
     """First hex digits of an md5 order key: 16**digits even buckets."""
     key = F.col(order_key) if isinstance(order_key, str) else order_key

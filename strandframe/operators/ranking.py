@@ -26,25 +26,25 @@ def running_sum(
     ``bucket`` lists one or more Columns, most significant first; ties of the
     order count as one step only if the order is not unique, so give a total order.
     """
-    keys = [f"__b{i}" for i in range(len(bucket))]
-    rows = df.withColumns({**dict(zip(keys, bucket)), "__v": value})
-    sizes = rows.groupBy(*group, *keys).agg(F.sum("__v").alias("__n"))
+    keys = [f"__rs_b{i}" for i in range(len(bucket))]
+    rows = df.withColumns({**dict(zip(keys, bucket)), "__rs_v": value})
+    sizes = rows.groupBy(*group, *keys).agg(F.sum("__rs_v").alias("__rs_n"))
     before = None
     level = sizes
     # one offset per bucket level, coarse to fine, so that each histogram window is small
     for i in range(len(keys)):
         outer, here = [*group, *keys[:i]], keys[i]
-        level = sizes.groupBy(*outer, here).agg(F.sum("__n").alias("__n"))
+        level = sizes.groupBy(*outer, here).agg(F.sum("__rs_n").alias("__rs_n"))
         w = Window.partitionBy(*outer).orderBy(here).rowsBetween(Window.unboundedPreceding, -1)
-        level = level.select(*outer, here, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(f"__o{i}"))
+        level = level.select(*outer, here, F.coalesce(F.sum("__rs_n").over(w), F.lit(0)).alias(f"__rs_o{i}"))
         before = level if before is None else _join_null_safe(level, before, outer)
-    local = F.sum("__v").over(
+    local = F.sum("__rs_v").over(
         Window.partitionBy(*group, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    rows = rows.withColumn("__l", local)
-    total = F.col("__l")
+    rows = rows.withColumn("__rs_l", local)
+    total = F.col("__rs_l")
     for i in range(len(keys)):
-        total = total + F.col(f"__o{i}")
+        total = total + F.col(f"__rs_o{i}")
     out = _join_null_safe(rows, before, [*group, *keys])
     return out.select(*df.columns, total.alias(name))
 
@@ -68,11 +68,11 @@ def first_rows(
     The first step ranks inside (group, salt) so a hot group is spread over
     ``parts`` tasks; the second sees at most ``parts * n`` rows of a group.
     """
-    spread = df.withColumn("__s", F.pmod(F.xxhash64(salt), F.lit(parts)))
-    step = F.row_number().over(Window.partitionBy(*group, "__s").orderBy(*order))
-    spread = spread.withColumn("__r", step).filter(F.col("__r") <= n)
+    spread = df.withColumn("__fr_s", F.pmod(F.xxhash64(salt), F.lit(parts)))
+    step = F.row_number().over(Window.partitionBy(*group, "__fr_s").orderBy(*order))
+    spread = spread.withColumn("__fr_r", step).filter(F.col("__fr_r") <= n)
     last = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return spread.withColumn("__r", last).filter(F.col("__r") <= n).drop("__s", "__r")
+    return spread.withColumn("__fr_r", last).filter(F.col("__fr_r") <= n).drop("__fr_s", "__fr_r")
 
 
 def mark_first(
@@ -83,17 +83,17 @@ def mark_first(
     ``n`` may differ per group. Buckets wholly before or after the border are
     decided from a histogram; only the border bucket of a group is sorted.
     """
-    rows = df.withColumn("__b", bucket)
-    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = rows.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
-    marks = sizes.select(*group, "__b", F.sum("__n").over(w).alias("__upto"), "__n")
-    marks = marks.withColumn("__before", F.col("__upto") - F.col("__n")).drop("__n")
-    rows = _join_null_safe(rows, marks, [*group, "__b"]).withColumn("__want", n)
-    edge = (F.col("__before") < F.col("__want")) & (F.col("__upto") > F.col("__want"))
-    clear = rows.filter(~edge).select(*df.columns, (F.col("__upto") <= F.col("__want")).alias(name))
-    local = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order))
-    border = rows.filter(edge).withColumn("__r", local)
-    border = border.select(*df.columns, (F.col("__r") + F.col("__before") <= F.col("__want")).alias(name))
+    rows = df.withColumn("__mf_b", bucket)
+    w = Window.partitionBy(*group).orderBy("__mf_b").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy(*group, "__mf_b").agg(F.count("*").alias("__mf_n"))
+    marks = sizes.select(*group, "__mf_b", F.sum("__mf_n").over(w).alias("__mf_upto"), "__mf_n")
+    marks = marks.withColumn("__mf_before", F.col("__mf_upto") - F.col("__mf_n")).drop("__mf_n")
+    rows = _join_null_safe(rows, marks, [*group, "__mf_b"]).withColumn("__mf_want", n)
+    edge = (F.col("__mf_before") < F.col("__mf_want")) & (F.col("__mf_upto") > F.col("__mf_want"))
+    clear = rows.filter(~edge).select(*df.columns, (F.col("__mf_upto") <= F.col("__mf_want")).alias(name))
+    local = F.row_number().over(Window.partitionBy(*group, "__mf_b").orderBy(*order))
+    border = rows.filter(edge).withColumn("__mf_r", local)
+    border = border.select(*df.columns, (F.col("__mf_r") + F.col("__mf_before") <= F.col("__mf_want")).alias(name))
     return clear.unionByName(border)
 
 

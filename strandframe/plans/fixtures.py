@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 HEX = "0123456789abcdef"
 HEX_TO_BASE = "ACGTACGTACGTACGN"
 
@@ -26,6 +28,15 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """``df`` over all cores when its files give fewer tasks than there are cores.
+
+        A row of the read table grows into two reads and a hundred k-mers, so a
+        small file would keep one core busy. A large table stays as it is.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def genome(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
@@ -47,10 +58,11 @@ class Fixtures:
     @cached_property
     def fragment(self) -> DataFrame:
         n_taxa = self.table("supplier").agg(F.count("*").alias("n")).scalar()
-        line = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+        line = self.spread(
+            self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
         )
-        genome = self.genome.select("tax_id", "seq")
+        # a small read table may itself look broadcastable, which would leave one task with all reads
+        genome = broadcast_if_small(self.genome.select("tax_id", "seq"))
         order = F.col("l_orderkey")
         return line.join(genome, F.col("l_suppkey") == F.col("tax_id")).select(
             F.concat_ws(

@@ -154,7 +154,7 @@ def count_quantiles(words: DataFrame) -> DataFrame:
 def top_kmers(words: DataFrame, vectors: DataFrame, n: int | None = None) -> DataFrame:
     """D14. The n most common k-mers that have a vector; without special tokens.
 
-    As in the reference, the n first k-mers are taken before looking for their vector.
+    The n first k-mers are taken before looking for their vector.
     """
     kept = words.filter(~F.col("kmer").isin("<unk>", "</s>"))
     if n is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, tokens
+from . import mixing, packing, quality, shingle_join, tokens
 from .common import modest_batches
 
 MIX_SQL = """
@@ -32,6 +32,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given(spark, sf_dir, "documents")
 
 
+def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
 def op4_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -44,5 +48,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_dynamic_packing, op7_source_mixing, op9_token_counts)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op4_dynamic_packing, op7_source_mixing, op9_token_counts, op10_ngram_jaccard)}
 SQL = {"op7_source_mixing": MIX_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, shingle_join, tokens
+from . import licenses, mixing, packing, quality, shingle_join, tokens, wrapper
 from .common import modest_batches
 
 MIX_SQL = """
@@ -40,6 +40,14 @@ def op4_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, sf_dir))
+
+
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(given(spark, sf_dir, "pages"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,5 +60,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op4_dynamic_packing, op7_source_mixing, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op9_token_counts, op10_ngram_jaccard)}
 SQL = {"op7_source_mixing": MIX_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, licenses, mixing, packing, quality, shingle_join, tokens, wrapper
+from . import brown, licenses, mixing, nndescent, packing, quality, shingle_join, tokens, wrapper
 from .common import modest_batches
 
 MIX_SQL = """
@@ -40,6 +40,10 @@ def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(documents(spark, sf_dir))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(given(spark, sf_dir, "embeddings"))
+
+
 def op4_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -64,5 +68,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op3_nn_descent, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op9_token_counts, op10_ngram_jaccard)}
 SQL = {"op7_source_mixing": MIX_SQL}

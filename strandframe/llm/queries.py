@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, licenses, mixing, nndescent, packing, quality, shingle_join, tokens, wrapper
+from . import brown, licenses, mixing, nndescent, packing, quality, shingle_join, suffix, tokens, wrapper
 from .common import modest_batches
 
 MIX_SQL = """
@@ -60,6 +60,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir))
 
@@ -68,5 +72,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op3_nn_descent, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op3_nn_descent, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op8_suffix_family, op9_token_counts, op10_ngram_jaccard)}
 SQL = {"op7_source_mixing": MIX_SQL}

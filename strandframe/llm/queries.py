@@ -69,7 +69,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.similar_documents(documents(spark, sf_dir))
+    return shingle_join.similar_documents(documents(spark, sf_dir), width=3, percent=90).drop("digest")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op3_nn_descent, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op8_suffix_family, op9_token_counts, op10_ngram_jaccard)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -78,6 +78,10 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(most.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def text_digest() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row: doc_id, n, the set's signature (s1, s2) and the prefix of the set in the global order.
 
@@ -107,11 +111,12 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 two.append(b)
             flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, one, two)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                ["doc_id", "n", "s1", "s2", "prefix"],
+                [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (size, one, two)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
+                ["doc_id", "digest", "n", "s1", "s2", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", text_digest().alias("digest"))
+    return rows.mapInArrow(run, "doc_id long, digest long, n long, s1 long, s2 long, prefix array<long>")
 
 
 def fragments(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
@@ -154,8 +159,8 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``.
+def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id) per row of ``docs``; ``digest`` is that of ``text_digest``.
 
     Documents with equal sets are one class, found by the sets' signatures. Among the classes:
 
@@ -239,6 +244,18 @@ def similar_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Dat
 
     named = classes.join(label.withColumnRenamed("node", "doc"), "doc", "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "doc").alias("component"))
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    out = rows.select("doc_id", "digest", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their component (the smallest doc_id), with their columns.
+
+    Of rows with equal id and text one stays. Rows without an id, a word or a text link with nothing and stay.
+    """
+    found = similar_documents(docs.select("doc_id", "text"), width, percent)
+    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("j_id"), F.col("digest").alias("j_digest")).distinct()
+    rows = docs.withColumns({"j_id": F.col("doc_id").cast("bigint"), "j_digest": text_digest()})
+    with_id = rows.join(heads, ["j_id", "j_digest"], "left_semi").dropDuplicates(["j_id", "j_digest"])
+    return with_id.unionByName(rows.where("doc_id is null")).drop("j_id", "j_digest")

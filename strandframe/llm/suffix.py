@@ -276,8 +276,11 @@ def compared(rows: DataFrame, match: int) -> tuple[DataFrame, DataFrame]:
     return covered.select("id", "key", "lo", (F.col("lo") + F.col("n") - 1 + match).alias("hi")), chosen
 
 
-def remaining(texts: DataFrame, covered: DataFrame) -> DataFrame:
-    """(key, n_removed, n_spans, sha, left): what stays of every text without its ``covered`` (id, key, lo, hi)."""
+def remaining(texts: DataFrame, covered: DataFrame, with_text: bool) -> DataFrame:
+    """(key, n_removed, n_spans, sha, left): what stays of every text without its ``covered`` (id, key, lo, hi).
+
+    ``left`` is that text, if asked for, without bytes of characters that were cut.
+    """
 
     def run(batches):
         for batch in batches:
@@ -292,13 +295,13 @@ def remaining(texts: DataFrame, covered: DataFrame) -> DataFrame:
                 gone = np.cumsum(mark)[:-1] > 0
                 left = data[~gone].tobytes()
                 starts = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((key, int(gone.sum()), starts, hashlib.sha256(left).hexdigest(), left))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                rows.append((key, int(gone.sum()), starts, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["key", "n_removed", "n_spans", "sha", "left"])
 
     lists = covered.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("spans"))
     rows = texts.join(lists, "id", "left").select("key", "z", "spans")
-    return rows.mapInArrow(run, "key long, n_removed long, n_spans long, sha string, left binary")
+    return rows.mapInArrow(run, "key long, n_removed long, n_spans long, sha string, left string")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -316,7 +319,7 @@ def named(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def deduplicated(docs: DataFrame, with_text: bool = False, match: int = MATCH, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): the rows of ``docs`` with their text's key and the key of its first copy, and what
     is left of each first copy by key.
 
@@ -343,7 +346,7 @@ def deduplicated(docs: DataFrame, match: int = MATCH, gram: int = GRAM, batches:
     for step in STEPS:
         more, chosen = compared(materialize(parts(texts, chosen, match, step)), match)
         covered = covered.unionByName(more)
-    return rows, remaining(texts, covered)
+    return rows, remaining(texts, covered, with_text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -367,3 +370,20 @@ def digests(docs: DataFrame) -> DataFrame:
         pick(F.lit(1), F.col("n_spans")).cast("bigint").alias("n_spans"),
         F.when(copy & long, empty).when(copy, F.col("sha0")).otherwise(F.col("sha")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated passages cut from text (n_chars follows), without documents of which no word is left.
+
+    Documents that had no word before stay as they are.
+    """
+    rows, texts = deduplicated(docs.select("doc_id", "text"), with_text=True)
+    keys = rows.select("id", "digest", "key", "first").distinct()
+    short = F.when(F.col("n_bytes") < MATCH, F.col("text"))
+    meta = named(docs).withColumn("text", short).join(keys, ["id", "digest"])
+    meta = meta.where((F.col("key") == F.col("first")) | (F.col("n_bytes") < MATCH))
+    out = meta.join(texts.select("key", "left"), "key", "left").withColumn("text", F.coalesce("left", "text"))
+    out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_bytes") < MATCH))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

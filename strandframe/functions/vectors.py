@@ -47,13 +47,19 @@ def vector_sums(v: str, dim: int, how=F.sum) -> Column:
 
 @dataclass
 class VectorTable:
-    """Vectors by k-mer code, for tasks that hold the whole table."""
+    """Vectors by k-mer code, for tasks that hold the whole table.
+
+    Broadcasts carry its ``fields`` only: plain values load on workers that don't have this package.
+    """
 
     k: int
     codes: np.ndarray
     matrix: np.ndarray
     unk_row: int
 
+    def fields(self) -> tuple:
+        return self.k, self.codes, self.matrix, self.unk_row
+
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """Row of each code, -1 when unknown."""
         if not len(self.codes):
@@ -120,11 +126,11 @@ def embed_batch(reads: list[str], table: VectorTable, strand: str, mean: bool) -
 
 
 def embedder(shared, strand: str, mean: bool):
-    """Arrow function read -> vector over a broadcast ``VectorTable``."""
+    """Arrow function read -> vector over the broadcast fields of a ``VectorTable``."""
 
     def run(reads: pa.Array) -> pa.Array:
         texts = [r or "" for r in reads.to_pylist()]
-        vectors = embed_batch(texts, shared.value, strand, mean)
+        vectors = embed_batch(texts, VectorTable(*shared.value), strand, mean)
         offsets = np.arange(len(texts) + 1, dtype=np.int32) * vectors.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
 

@@ -92,7 +92,7 @@ def read_embedding(
     unit = unit_vectors(vectors, idf)
     table = collect_table(unit, k, max_bytes)
     if table is not None:
-        shared = reads.sparkSession.sparkContext.broadcast(table)
+        shared = reads.sparkSession.sparkContext.broadcast(table.fields())
         return reads.withColumn(out, embedder(shared, strand, agg == "mean")(F.col(read)))
     return _embed_by_join(reads, unit, k, agg, strand, read, keys, out)
 

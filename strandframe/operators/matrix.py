@@ -17,7 +17,6 @@ from .filters import binary_label, drop_incomplete, feature_columns
 from .ranking import mark_first, md5_bucket, row_number_by
 
 SUBJECT = "id_subject"
-MAX_DUMMIES = 2048
 
 
 def q(name: str) -> Column:
@@ -96,15 +95,18 @@ def normalize_by_subject_count(x: DataFrame) -> DataFrame:
     return x.withColumns({c: q(c) / total for c in features_of(x)})
 
 
-def genome_dummies(x: DataFrame, genomes: Sequence[int]) -> DataFrame:
-    """H6. One-hot genome columns; features divided by the row's count, count by the subject's total."""
-    if len(genomes) > MAX_DUMMIES:
-        raise ValueError(f"{len(genomes)} genome columns; index the genome instead")
+def genome_dummies(x: DataFrame) -> DataFrame:
+    """H6. One-hot genome columns in sparse form: ``dummy`` is the place of the row's one among ``dummies``
+    columns, in the order of the genomes; any number of genomes fits. Features are divided by the row's
+    count, the count by the subject's total.
+    """
     total = F.sum("count").over(Window.partitionBy(SUBJECT))
     cols = {c: q(c) / F.col("count") for c in feature_columns(x)}
     cols["count"] = F.col("count") / total
-    cols |= {f"genome_{g}": (F.col("genome") == g).cast("int") for g in genomes}
-    return x.withColumns(cols)
+    genomes = x.select("genome").distinct()
+    places = genomes.withColumn("dummy", F.row_number().over(Window.orderBy("genome")).cast("bigint") - 1)
+    places = places.withColumn("dummies", F.count("*").over(Window.partitionBy()))
+    return x.withColumns(cols).join(places, "genome")
 
 
 def grouped_stratified_split(

@@ -32,17 +32,14 @@ def _(fx):
     return K.kmer_count(fx.reads, 6)
 
 
-HALVES = "CAST(regexp_extract(sample_id, '[0-9]+') AS INT) % 3"
-
-
 @query(
     "d2_merge_counts",
-    f"""SELECT kmer, CAST(count(*) AS BIGINT) AS count FROM kmer6 WHERE {HALVES} < 2 GROUP BY kmer""",
+    "SELECT kmer, CAST(count(*) AS BIGINT) AS count FROM kmer6 GROUP BY kmer",
 )
 def _(fx):
-    third = F.regexp_extract("sample_id", "[0-9]+", 0).cast("int") % 3
-    one = K.kmer_count(fx.reads.filter(third == 0), 6, by=())
-    two = K.kmer_count(fx.reads.filter(third == 1), 6, by=())
+    half = F.regexp_extract("sample_id", "[0-9]+", 0).cast("int") % 2
+    one = K.kmer_count(fx.reads.filter(half == 0), 6, by=())
+    two = K.kmer_count(fx.reads.filter(half == 1), 6, by=())
     return K.merge_counts(one, two)
 
 
@@ -56,6 +53,15 @@ def _(fx):
     return K.merge_all_samples(K.kmer_count(fx.reads, 6), last_sample=12)
 
 
+@query(
+    "d3_merge_every_sample",
+    """SELECT kmer, CAST(count(*) AS BIGINT) AS count,
+      CAST(row_number() OVER (ORDER BY count(*) DESC, kmer) AS BIGINT) AS id FROM kmer6 GROUP BY kmer""",
+)
+def _(fx):
+    return K.merge_all_samples(K.kmer_count(fx.reads, 6))
+
+
 @query(
     "d4_add_index",
     "SELECT kmer, count, CAST(row_number() OVER (ORDER BY count DESC, kmer) AS BIGINT) AS id FROM word6",

@@ -8,6 +8,7 @@ from ..functions import seq as S
 from ..operators import datasets as D
 from ..operators import filters as B
 from ..operators import kmers as K
+from ..operators.tokens import kmer_positions
 from .registry import query
 
 BIG = "bigint"
@@ -36,10 +37,13 @@ def _(fx):
 
 @query(
     "b2_filter_acgt",
-    "SELECT read_id, substr(read, 1, 9) AS kmer FROM reads WHERE NOT regexp_matches(substr(read, 1, 9), '[^ACGT]')",
+    """SELECT read_id, CAST(count(*) AS BIGINT) AS n, min(kmer) AS first, max(kmer) AS last FROM (
+      SELECT read_id, unnest(list_transform(range(0, length(read) - 8), lambda i: substr(read, i + 1, 9))) AS kmer FROM reads)
+    WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY read_id""",
 )
 def _(fx):
-    return K.filter_acgt(fx.reads.select("read_id", F.substr(F.col("read"), F.lit(1), F.lit(9)).alias("kmer")))
+    kept = K.filter_acgt(kmer_positions(fx.reads, 9, ["read_id"], strand=None))
+    return kept.groupBy("read_id").agg(F.count("*").alias("n"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))
 
 
 @query(

@@ -112,17 +112,14 @@ class Fixtures:
 
     @cached_property
     def kmer_vectors(self) -> DataFrame:
+        """All embeddings: the mean vector of those whose ids agree modulo the number of 5-mers."""
         from ..functions.seq import int_to_kmer
+        from ..functions.vectors import vector_sums
 
-        return (
-            self.table("embeddings")
-            .filter("vec_id < 1024")
-            .select(
-                F.col("vec_id").cast("int").alias("id"),
-                int_to_kmer("vec_id", 5).alias("kmer"),
-                F.col("embedding").cast("array<double>").alias("vector"),
-            )
-        )
+        code = (F.col("vec_id") % 1024).cast("int")
+        rows = self.table("embeddings").select(code.alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        means = rows.groupBy("id").agg(vector_sums("v", 64, F.avg).alias("vector"))
+        return means.select("id", int_to_kmer("id", 5).alias("kmer"), "vector")
 
     @cached_property
     def read_stream(self) -> DataFrame:
@@ -210,9 +207,9 @@ SELECT concat(frag_id, '/2'), reverse(translate(substring(bases, 61, 60), 'ACGT'
     "samples": "SELECT DISTINCT sample_id AS id_fasta, grp, subject_id FROM reads",
     "kmer_vectors": """
 SELECT CAST(vec_id AS INT) AS id, array_to_string(list_transform(range(0, 5), lambda i: substring('ACGT',
-       CAST(1 + ((vec_id >> CAST(2 * i AS INT)) & 3) AS INT), 1)), '') AS kmer,
-       CAST(embedding AS DOUBLE[]) AS vector
-FROM embeddings WHERE vec_id < 1024""",
+       CAST(1 + ((vec_id >> CAST(2 * i AS INT)) & 3) AS INT), 1)), '') AS kmer, vector
+FROM (SELECT vec_id, list(x ORDER BY i) AS vector FROM (
+  SELECT vec_id % 1024 AS vec_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY vec_id)""",
     "read_stream": f"""
 SELECT CAST(event_id AS VARCHAR) AS read_id, ts,
        round((((value % 10) + 10) % 10) / 10, 6) AS prob,

@@ -11,17 +11,19 @@ from .registry import query
 from .sql import canon, code, decode, flip, kmer_list
 
 BIG = "bigint"
-SPECIES6 = canon("substr(read, 1, 6)")
+CODES12 = f"list_transform(list_filter({kmer_list('read', 12, 1, None)}, lambda w: NOT regexp_matches(w, '[^ACGT]')), lambda w: {code('w', 12)})"
 
 
 @query(
     "c1_kmer_to_int",
-    f"""SELECT read_id, substr(read, 1, 12) AS kmer, {code('substr(read, 1, 12)', 12)} AS code
-    FROM reads WHERE NOT regexp_matches(substr(read, 1, 12), '[^ACGT]')""",
+    f"""SELECT read_id, CAST(len(c) AS BIGINT) AS n, CAST(list_sum(c) AS BIGINT) AS total, c[1] AS first, c[-1] AS last
+    FROM (SELECT read_id, {CODES12} AS c FROM reads) WHERE len(c) > 0""",
 )
 def _(fx):
-    k = fx.reads.select("read_id", F.substr(F.col("read"), F.lit(1), F.lit(12)).alias("kmer"))
-    return k.withColumn("code", S.kmer_to_int("kmer")).filter("code IS NOT NULL")
+    codes = F.filter(F.transform(S.kmers("read", 12, 1, strand=None), S.kmer_to_int), F.isnotnull)
+    c = fx.reads.select("read_id", codes.alias("c")).filter(F.size("c") > 0)
+    total = F.aggregate("c", F.lit(0).cast(BIG), lambda a, x: a + x)
+    return c.select("read_id", F.size("c").cast(BIG).alias("n"), total.alias("total"), F.get("c", F.lit(0)).alias("first"), F.element_at("c", -1).alias("last"))
 
 
 @query(
@@ -49,9 +51,10 @@ def _(fx):
     return fx.reads.select("read_id", S.reverse_complement("read").alias("revcomp"))
 
 
-@query("c5_canonical_kmer", f"SELECT read_id, {SPECIES6} AS canonical FROM reads")
+@query("c5_canonical_kmer", f"SELECT read_id, array_to_string({kmer_list('read', 6)}, ',') AS canonical FROM reads")
 def _(fx):
-    return fx.reads.select("read_id", S.canonical(F.substr("read", F.lit(1), F.lit(6))).alias("canonical"))
+    words = F.transform(S.kmers("read", 6, 1, strand=None), lambda w: S.canonical(w))
+    return fx.reads.select("read_id", F.array_join(words, ",").alias("canonical"))
 
 
 @query(
@@ -195,18 +198,18 @@ def _mates(fx):
 
 @query("c16_needleman_wunsch")
 def _(fx):
-    pairs = _mates(fx).select("read_id", F.substr("a", F.lit(1), F.lit(12)).alias("a"), F.substr("b", F.lit(1), F.lit(12)).alias("b"))
+    pairs = _mates(fx)
     distinct = pairs.select("a", "b").distinct().withColumn("score", needleman_wunsch("a", "b"))
     return pairs.join(distinct, ["a", "b"]).select("read_id", "score")
 
 
 @query(
     "c17_orient_pair",
-    f"""SELECT read_id, CASE WHEN f THEN substr(r, 1, 4) ELSE substr(x, 1, 4) END AS a,
-      CASE WHEN f THEN substr(r, 5) ELSE substr(x, 5) END AS b FROM (
-        SELECT read_id, x, reverse({flip('x')}) AS r, x[1] IN ('G', 'T') AND x[7] IN ('G', 'T') AS f FROM (
-          SELECT read_id, substr(read, 1, 7) AS x FROM reads))""",
+    f"""SELECT read_id, CASE WHEN f THEN substr(r, 1, 25) ELSE substr(x, 1, 25) END AS a,
+      CASE WHEN f THEN substr(r, 26) ELSE substr(x, 26) END AS b FROM (
+        SELECT read_id, x, reverse({flip('x')}) AS r, x[1] IN ('G', 'T') AND x[-1] IN ('G', 'T') AS f FROM (
+          SELECT read_id, read AS x FROM reads))""",
 )
 def _(fx):
-    p = S.orient_pair(F.substr("read", F.lit(1), F.lit(4)), F.substr("read", F.lit(5), F.lit(3)))
+    p = S.orient_pair(F.substr("read", F.lit(1), F.lit(25)), F.substr("read", F.lit(26)))
     return fx.reads.select("read_id", p.alias("p")).select("read_id", "p.a", "p.b")

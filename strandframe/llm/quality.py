@@ -19,11 +19,11 @@ CORE = 0.75
 #: Statistics are kept as whole numbers of 1/UNIT, so that sums are exact in any order.
 UNIT = 1024
 #: Pseudo-words that steady the statistics of short texts.
-PRIOR = 100.0
+PRIOR = 50.0
 #: No statistic counts as steadier than this standard deviation.
 FLOOR = 0.15
 #: Share of ordinary rows that may lie beyond the limit.
-TAIL = 1e-7
+TAIL = 1e-6
 GROUP_ROWS = 100
 LEAST_ROWS = 30
 STEPS = 12
@@ -90,7 +90,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` as struct ``q_row``, the base counts, and the transformed statistics x0..x4.
 
     The statistics, each with ``PRIOR`` pseudo-words of ordinary text: log of the word length, of
-    the symbols, capitals and punctuation per word, and of the share of repeated words and lines.
+    the symbols, capitals and punctuation per word, and of the share of repeated words and lines,
+    with constants that let scripts without capitals or punctuation pass.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row")
@@ -112,10 +113,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     size = F.col("n_words") + PRIOR
     stats = [
         F.log((F.col("word_chars") + 5 * PRIOR) / size),
-        F.log(1 + 100 * F.col("n_symbols") / size),
-        F.log((F.col("q_upper") + 0.07 * PRIOR) / size),
-        F.log((F.col("q_punct") + 0.15 * PRIOR) / size),
-        F.log(1 + 10 * (F.col("n_repeat_words") + F.col("n_dup_lines")) / size),
+        F.log(1 + 10 * F.col("n_symbols") / size),
+        F.log(0.2 + (F.col("q_upper") + 0.07 * PRIOR) / size),
+        F.log(0.3 + (F.col("q_punct") + 0.15 * PRIOR) / size),
+        F.log(1 + 5 * (F.col("n_repeat_words") + F.col("n_dup_lines")) / size),
     ]
     rows = rows.withColumns({name: F.round(x * UNIT).cast("bigint") for name, x in zip(_STATS, stats)})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

@@ -162,7 +162,7 @@ WALK = """walk AS (SELECT tax_id, n.node_id, n.parent_id, n.rank, n.name FROM ge
 
 def lineage(fx, ranks=TX.RANKS):
     taxa = fx.genome.select("tax_id", (F.col("tax_id") + 1000000000).alias("__start"))
-    out = TX.rank_lineage(taxa, fx.nodes, "__start", ranks, max_depth=6)
+    out = TX.rank_lineage(taxa, fx.nodes, "__start", ranks)
     return out.drop("__start")
 
 

@@ -69,6 +69,9 @@ def sequence_lines(part: Range) -> Iterator[tuple[str | None, int, bytes]]:
     """Lines of the records whose header starts inside the range; blank lines left out."""
     record, number, inside = None, 0, part.start == 0
     for offset, line in lines_from(part):
+        if part.end is not None and offset >= part.end and not inside:
+            # a range within another range's record has nothing of its own
+            return
         if line[:1] == b">":
             if part.end is not None and offset >= part.end:
                 return

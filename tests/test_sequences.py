@@ -52,6 +52,10 @@ def test_rates_and_pieces(values):
     assert values(S.acgt_length(lit("ACGTNRacgt"))) == 4
     assert values(S.fragments(lit("ACNNNGTNACGTA"), 4)) == ["ACGT", "NACG"]
     assert values(S.hamming(lit("ACGT"), lit("ACCA"))) == 2
+    letters = random.Random(2)
+    for n in (0, 1, 14, 15, 16, 30, 61):
+        a, b = ("".join(letters.choice(S.IUPAC) for _ in range(n)) for _ in range(2))
+        assert values(S.hamming(lit(a), lit(b))) == sum(x != y for x, y in zip(a, b))
 
 
 def test_ids(values):

@@ -218,16 +218,18 @@ def _(fx):
     )
 
 
-@query(
-    "i12_abundance_balanced_rank_v2",
-    """SELECT genome_id, round(y / sum(y) OVER (), 12) AS abundance FROM (
-      SELECT *, x / sum(x) OVER (PARTITION BY species) AS y FROM (
+for _name, _rank in (("i12_abundance_balanced_rank_v2", "species"), ("i12_abundance_balanced_genus_v2", "genus")):
+
+    @query(
+        _name,
+        f"""SELECT genome_id, round(y / sum(y) OVER (), 12) AS abundance FROM (
+      SELECT *, x / sum(x) OVER (PARTITION BY {_rank}) AS y FROM (
         SELECT *, CAST(1 AS DOUBLE) / ((taxon / total) * (bp_length / taxon)) AS x FROM (
-          SELECT *, CAST(sum(bp_length) OVER (PARTITION BY species) AS DOUBLE) AS taxon,
+          SELECT *, CAST(sum(bp_length) OVER (PARTITION BY {_rank}) AS DOUBLE) AS taxon,
             CAST(sum(bp_length) OVER () AS DOUBLE) AS total FROM genome_meta)))""",
-)
-def _(fx):
-    return _profile(AB.abundance_balanced_rank_v2(genome_meta(fx), "species"), "abundance_balanced_species_V2")
+    )
+    def _(fx, rank=_rank):
+        return _profile(AB.abundance_balanced_rank_v2(genome_meta(fx), rank), f"abundance_balanced_{rank}_V2")
 
 
 @query(
@@ -255,12 +257,26 @@ def _(fx):
     return m.select("genome_id", F.round("NT_a_genus", 12).alias("a"), F.round("NT_b_genus", 12).alias("b"))
 
 
-@query(
-    "i15_perturb_plan",
-    f"""WITH taxa AS (SELECT DISTINCT species FROM genome),
+PLAN = f"""WITH taxa AS (SELECT DISTINCT species FROM genome),
     ranked AS (SELECT species, h, l, (SELECT count(*) FROM taxa) AS nt,
       row_number() OVER (PARTITION BY h, l ORDER BY {md5_key(42, 'species', 'h', 'l')}, species) AS rn
-      FROM taxa, (SELECT unnest([0, 5, 10, 20]) AS h), (SELECT unnest([0, 5, 10, 20]) AS l) WHERE h + l > 0)
+      FROM taxa, (SELECT unnest([0, 5, 10, 20]) AS h), (SELECT unnest([0, 5, 10, 20]) AS l) WHERE h + l > 0)"""
+
+
+@query(
+    "i15_perturb_spec",
+    f"""{PLAN}
+    SELECT concat('NT_', nt, '_H_', h, '_L_', l) AS profile, concat('{{"tax_level":"species","modif":{{', string_agg(
+      concat('"', species, '":', CASE WHEN rn <= h THEN '5.0' ELSE '0.2' END), ',' ORDER BY CAST(species AS VARCHAR)), '}}}}') AS spec
+    FROM ranked WHERE rn <= h + l GROUP BY nt, h, l""",
+)
+def _(fx):
+    return AB.plan_as_spec(AB.perturb_plan(fx.genome.select("species").distinct()))
+
+
+@query(
+    "i15_perturb_plan",
+    f"""{PLAN}
     SELECT concat('NT_', nt, '_H_', h, '_L_', l) AS profile, h, l, species, CASE WHEN rn <= h THEN CAST(5.0 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS factor
     FROM ranked WHERE rn <= h + l""",
 )

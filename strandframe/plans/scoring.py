@@ -195,6 +195,39 @@ def _(fx):
     return m.select("dataset", "at", "nb_class", F.round("threshold", 2).alias("threshold"), *[F.round(c, 9).alias(c) for c in METRICS[:4]])
 
 
+@query(
+    "j14_curves",
+    f"""SELECT dataset, round(step * CAST(0.01 AS DOUBLE), 2) AS threshold, {', '.join(f'round({c}, 9) AS {c}' for c in METRICS)}
+    FROM (SELECT dataset, step, {SCORES} FROM ({RANK_STEPS}) GROUP BY dataset, step)""",
+)
+def _(fx):
+    c = _report(fx)["curves"]
+    return c.select("dataset", F.round("threshold", 2).alias("threshold"), *[F.round(m, 9).alias(m) for m in METRICS])
+
+
+@query(
+    "j14_best",
+    f"""SELECT dataset, round(step * CAST(0.01 AS DOUBLE), 2) AS threshold, round({BEST}, 9) AS score FROM (SELECT *,
+      row_number() OVER (PARTITION BY dataset ORDER BY {BEST} DESC, step DESC) AS rn
+      FROM (SELECT dataset, step, {SCORES} FROM ({RANK_STEPS}) GROUP BY dataset, step)) WHERE rn = 1""",
+)
+def _(fx):
+    return _report(fx)["best"].select("dataset", F.round("threshold", 2).alias("threshold"), F.round("score", 9).alias("score"))
+
+
+@query(
+    "j14_proportion",
+    """SELECT coalesce(t.sim_id, p.sim_id) AS sim_id, coalesce(t.species, p.species) AS species,
+      round(coalesce(a, 0), 9) AS proportion_true, round(coalesce(b, 0), 9) AS proportion_pred FROM
+      (SELECT sim_id, true_id AS species, count(*) / sum(count(*)) OVER (PARTITION BY sim_id) AS a FROM ranked_predictions WHERE dataset = 'valid' GROUP BY sim_id, true_id) t
+      FULL JOIN (SELECT sim_id, pred_id AS species, count(*) / sum(count(*)) OVER (PARTITION BY sim_id) AS b FROM ranked_predictions WHERE dataset = 'valid' GROUP BY sim_id, pred_id) p
+      ON t.sim_id = p.sim_id AND t.species = p.species""",
+)
+def _(fx):
+    p = _report(fx)["proportion"]
+    return p.select("sim_id", "species", F.round("proportion_true", 9).alias("proportion_true"), F.round("proportion_pred", 9).alias("proportion_pred"))
+
+
 @query(
     "j14_correlation",
     """WITH p AS (SELECT coalesce(t.sim_id, p.sim_id) AS sim_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM

@@ -310,6 +310,16 @@ def _(fx):
     return T.genome_sentence_lines(fasta, 5)
 
 
+@query("a17_genome_to_id", "SELECT genome_id, concat('/genomes/', fasta) AS path FROM genome_meta")
+def _(fx):
+    return AB.community_tables(AB.abundance_uniform(genome_meta(fx)), "/genomes")["genome_to_id"]
+
+
+@query("a17_metadata", 'SELECT genome_id AS "genome_ID", OTU, NCBI_ID, novelty_category FROM genome_meta')
+def _(fx):
+    return AB.community_tables(AB.abundance_uniform(genome_meta(fx)))["metadata"]
+
+
 @query(
     "a17_community_files",
     """SELECT 'abundance_balanced' AS profile, genome_id, round((1.0 / bp_length) / sum(1.0 / bp_length) OVER (), 12) AS abundance FROM genome_meta

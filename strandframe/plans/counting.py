@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..operators import context as X
 from ..operators import kmers as K
-from ..operators.tokens import tokenize
 from .fixtures import Fixtures, add_view
 from .registry import query
-from .sql import canon, code, flip, kmer_rows
+from .sql import canon, flip, kmer_rows
 
 BIG = "bigint"
 

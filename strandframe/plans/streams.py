@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..streaming import jobs as J
-from .embedding import DIM, checks, checks_sql
+from .embedding import checks, checks_sql
 from .registry import query
 
 SCHEMA = "read_id string, read string, sample_id string, grp string, predict bigint"

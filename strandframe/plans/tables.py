@@ -18,7 +18,7 @@ from ..sources.fasta import read_fasta, sequence_text
 from ..sources.fastq import read_fastq
 from .fixtures import add_view
 from .registry import query
-from .sql import canon, kmer_list
+from .sql import kmer_list
 
 BIG = "bigint"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import pyarrow as pa
@@ -15,8 +16,8 @@ from ..session import materialize
 from .chunks import pieces, texts
 
 TOKENIZER = "byte_bpe_50k.json"
-HEAVY = 400_000
-FLUSH = 1_000_000
+HEAVY = 300_000
+FLUSH = 400_000
 LIMIT = 1024
 
 
@@ -39,6 +40,7 @@ def vocabulary(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield out()
 
     def encode(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         coder = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         for batch in batches:
             found = coder.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)

@@ -17,18 +17,20 @@ from ..session import materialize
 from .common import text_bytes
 
 #: Words that exchange clustering moves, and the classes it moves them between.
-HEAD = 20_000
+HEAD = 10_000
 CLASSES = 48
 #: Classes of all other words, known or not, by their endings.
 ENDINGS = 48
 ROUNDS = 5
 #: Words whose counts go to the tasks; the others' counts are joined.
-HEAVY = 400_000
+HEAVY = 300_000
+#: Bytes of a word that may be among them.
+LONGEST = 64
 #: Smoothing: count added to a word in its class, and weight of the class frequencies behind a transition.
 ADD = 0.5
 BEHIND = 50.0
-FLUSH = 1_000_000
-BLOCK = 1 << 23
+FLUSH = 400_000
+BLOCK = 1 << 22
 END_WORD = ""
 
 
@@ -239,8 +241,9 @@ def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     times that of the word in its class (add-``ADD``, with a share for unknown words). Texts begin
     after an end and end with one.
 
-    Counts of the ``heavy`` most frequent words go to the tasks, a table of bounded size; the
-    other words of a text are joined to their counts by a shuffle, with the same result.
+    Counts of the ``heavy`` most frequent words (of at most ``LONGEST`` bytes) go to the tasks, a
+    table of bounded size; the other words of a text are joined to their counts by a shuffle, with
+    the same result.
 
     Null and empty text is the end alone. A null doc_id is in training. Rows are told apart by
     their place, so repeated rows give a row each. Without training text every probability is that
@@ -253,7 +256,7 @@ def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     train = docs.where(is_training(F.col("doc_id")))
     counts = materialize(word_counts(train))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(setting.heavy).toArrow()
+    frequent = counts.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("c"), "word").limit(max(setting.heavy, setting.head)).toArrow()
     words, freq = frequent.column(0).to_pylist(), frequent.column(1).to_pylist()
     head = words[: setting.head]
     kind, matrix = exchange(materialize(transitions(train, sc.broadcast(head), setting)), head, setting)

@@ -17,6 +17,8 @@ from .chunks import pieces, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 HEAVY = 300_000
+#: Bytes of a pre-token that may be among them.
+LONGEST = 64
 FLUSH = 400_000
 LIMIT = 1024
 
@@ -55,7 +57,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
 
     Pre-tokens are counted over all texts (map-side first), and the tokenizer sees each distinct
     one once. Documents' pre-token frequencies meet these counts in two ways with one result: the
-    ``heavy`` most frequent pre-tokens, a table of that bounded size, go to the tasks, where their
+    ``heavy`` most frequent pre-tokens of at most ``LONGEST`` bytes, a table of bounded size, go to the tasks, where their
     tokens are summed; the other pre-tokens, most of them rare, are joined by a shuffle. So no hot
     pre-token is shuffled, and the vocabulary may be of any size.
 
@@ -63,7 +65,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     with one doc_id each give a row, as do null ids. Special strings in a text count as the library has them.
     """
     known = materialize(vocabulary(docs, tokenizer))
-    common = known.orderBy(F.desc("n"), "piece").limit(heavy)
+    common = known.where(F.octet_length("piece") <= LONGEST).orderBy(F.desc("n"), "piece").limit(heavy)
     table = common.select("piece", "tokens").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist())))
 

@@ -175,7 +175,8 @@ def concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
     near = distance(rows.join(params, "q_key")).withColumn("ring", F.floor(FINE * F.log2(F.col("distance") + 1)))
     sums = [F.sum(x).alias(x) for x in _STATS]
     sums += [F.sum(F.col(_STATS[i]) * F.col(_STATS[j])).alias(f"c_{i}_{j}") for i, j in _CROSS]
-    rings = near.groupBy("q_key", "ring").agg(F.count("*").alias("n"), *sums)
+    # written, so that rows are dealt by key and range here and only ranges by key below
+    rings = materialize(near.groupBy("q_key", "ring").agg(F.count("*").alias("n"), *sums))
     order = Window.partitionBy("q_key").orderBy("ring")
     rings = rings.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("q_key")))
     core = rings.where(F.col("before") < CORE * F.col("all")).groupBy("q_key")

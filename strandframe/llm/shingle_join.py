@@ -15,7 +15,7 @@ SHARED = 3
 FREQUENT = 10
 FREQUENT_MOST = 1 << 20
 HOT = 64
-ROUNDS = 4
+ROUNDS = 2
 BLOCK = 1 << 22
 SEED = 10
 
@@ -171,7 +171,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     3. A shingle in more than ``HOT`` prefixes (many near copies of one text) does not emit pairs
        of all its classes: all are held against one leader, for some rounds. What is then still
        apart is paired with all classes that share the shingle and belong elsewhere, so no link
-       between two components is lost.
+       between two components is lost. As rare shingles come first, a near copy's own changes stand
+       before what it shares, and pairs whose changes alone exceed the bound are not compared.
 
     Null and empty text: no shingles, a component of its own. Texts of fewer words than ``width``
     are one shingle. Rows with one doc_id and different texts are classes of their own under that
@@ -181,20 +182,25 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     valid = rows.where("n > 0 and doc_id is not null")
     classes = materialize(valid.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc")))
     heads = rows.withColumnRenamed("doc_id", "doc").join(classes, ["doc", "n", "s1", "s2"]).dropDuplicates(["doc", "s1"])
-    postings = heads.select("doc", "n", "s1", "s2", F.explode("prefix").alias("h"))
+    postings = heads.select("doc", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "h"))
     lists = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     postings = materialize(postings.join(lists, "h"))
 
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    left = postings.where(F.col("m") <= HOT).select("h", F.col("doc").alias("a"), F.col("n").alias("na"))
-    right = left.select("h", F.col("a").alias("b"), F.col("na").alias("nb"))
-    hot = materialize(postings.where(F.col("m") > HOT).select("h", "doc", "n"))
+    # what stands before the first shared shingle is not shared: both sets share what follows at most
+    near = lambda apart, na, nb: apart * (100 + percent) <= (100 - percent) * (na + nb)
+    apart = lambda na, pa, nb, pb: F.greatest(nb - na + 2 * pa, na - nb + 2 * pb)
+    left = postings.where(F.col("m") <= HOT).select("h", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = left.select("h", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"))
+    hot = materialize(postings.where(F.col("m") > HOT).select("h", "doc", "n", "pos"))
     in_hot = hot.groupBy("doc").agg(F.count("*").alias("hot"))
-    counts = left.join(right, "h").where("a < b").where(close).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    counts = left.join(right, "h").where("a < b").where(close)
+    counts = counts.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.min(apart(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).alias("apart"))
     counts = counts.join(in_hot.select(F.col("doc").alias("a"), F.col("hot").alias("ha")), "a", "left")
     counts = counts.join(in_hot.select(F.col("doc").alias("b"), F.col("hot").alias("hb")), "b", "left")
     least = F.least(F.lit(SHARED), F.ceil(F.least("na", "nb") * percent / 100))
-    maybe = F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= least
+    both_hot = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    maybe = (F.col("c") + both_hot >= least) & ((both_hot > 0) | near(F.col("apart"), F.col("na"), F.col("nb")))
     pairs = materialize(counts.where(maybe).select("a", "b", "na", "nb"))
 
     chosen = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(hot.select("doc")).distinct()
@@ -204,10 +210,15 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     label = components(edges)
 
     def labelled() -> DataFrame:
-        found = hot.join(label.withColumnRenamed("node", "doc"), "doc", "left")
-        found = found.select("h", "doc", "n", F.coalesce("component", "doc").alias("label"))
-        apart = found.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-        return materialize(found.join(apart, "h"))
+        found = hot.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+        found = found.join(label.withColumnRenamed("node", "doc"), "doc", "left")
+        found = found.select("h", "doc", "n", "pos", F.coalesce("component", "doc").alias("label"))
+        # classes that are too far even from the list's foremost one have their link, if any, elsewhere
+        foremost = found.groupBy("h").agg(F.min("pos").alias("least"))
+        found = found.join(foremost, "h").where(near(F.col("pos") + F.col("least"), F.col("n"), F.col("n") * 100 / percent)).drop("least")
+        found = materialize(found)
+        several = found.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+        return materialize(found.join(several, "h"))
 
     def merge(more: DataFrame) -> DataFrame:
         """Labels after the links ``more``: only labels are contracted, then exchanged."""
@@ -232,14 +243,17 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
             break
         x = open_lists.alias("x")
         if turn < ROUNDS:
-            first = F.struct(F.xxhash64(F.lit(turn), "doc").alias("k"), "doc", "n", "label")
-            lead = open_lists.groupBy("h").agg(F.min(first).alias("y")).select("h", "y.doc", "y.n", "y.label").alias("y")
-            met = x.join(lead, F.col("x.h") == F.col("y.h")).where("x.label <> y.label")
+            first = F.struct("pos", F.xxhash64(F.lit(turn), "doc").alias("k"), "doc", "n", "label")
+            lead = open_lists.groupBy("h").agg(F.min(first).alias("y")).select("h", "y.pos", "y.doc", "y.n", "y.label").alias("y")
+            met = x.join(lead, F.col("x.h") == F.col("y.h"))
         else:
             sizes = open_lists.groupBy("h", "label").agg(F.count("*").alias("c"))
             main = sizes.groupBy("h").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
             lesser = open_lists.join(main, "h").where("label <> main").alias("y")
-            met = x.join(lesser, F.col("x.h") == F.col("y.h")).where("x.label <> y.label")
+            once = (F.col("x.label") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc"))
+            met = x.join(lesser, F.col("x.h") == F.col("y.h")).where(once)
+        gap = apart(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+        met = met.where("x.label <> y.label").where(near(gap, F.col("x.n"), F.col("y.n")))
         label = merge(linked(materialize(ordered(met, "x", "y")), parts, percent))
 
     named = classes.join(label.withColumnRenamed("node", "doc"), "doc", "left")

@@ -7,7 +7,6 @@ import json
 import re
 import sys
 import zlib
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,13 +56,15 @@ DEPTH = 40
 
 
 class Node:
-    """An element: its tag, whether it stands around an article, and its children (nodes, texts, breaks)."""
+    """An element: its tag, whether it stands around an article (by its part in HTML, or ``marked`` by words
+    of class or id), and its children (nodes, texts, breaks)."""
 
-    __slots__ = ("tag", "around", "role", "children")
+    __slots__ = ("tag", "around", "marked", "role", "children", "shape", "raw")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
-        self.around, self.role = tag in AROUND, ""
+        self.around, self.marked, self.role = tag in AROUND, frozenset(), ""
+        self.shape = self.raw = None
         if "=" in attributes or "hidden" in attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -71,7 +72,7 @@ class Node:
                     self.role = value
                     self.around |= value in ROLES
                 elif name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                    self.around |= not MARKS.isdisjoint(_SPLIT.split(value))
+                    self.marked |= MARKS.intersection(_SPLIT.split(value))
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     self.around = True
 
@@ -162,21 +163,40 @@ def blocks(node: Node, skip) -> list[str]:
     return out
 
 
-def skeleton(node: Node, depth: int = DEPTH) -> tuple[str, list]:
+def skeleton(node: Node, depth: int = DEPTH) -> tuple[str, tuple]:
     """(tag, children) where elements alike in a row are one: the shape that pages of a host share.
     What lies deeper than ``depth`` is not part of the shape."""
-    kinds: list[tuple[str, list]] = []
-    for child in node.children if depth else ():
+    return _shape(node, depth)[1]
+
+
+def _shape(node: Node, depth: int) -> tuple[int, tuple[str, tuple]]:
+    """(height, skeleton); kept at the node, as it does not depend on a depth above its height."""
+    if node.shape and node.shape[0] <= depth:
+        return node.shape
+    kinds: list[tuple[str, tuple]] = []
+    height = 0
+    for child in node.children:
         if isinstance(child, Node) and child.tag not in INLINE:
-            shape = skeleton(child, depth - 1)
+            if not depth:
+                return DEPTH + 1, (node.tag, ())
+            below, shape = _shape(child, depth - 1)
+            height = max(height, below + 1)
             if not kinds or kinds[-1] != shape:
                 kinds.append(shape)
-    return node.tag, kinds
+    found = (height, (node.tag, tuple(kinds)))
+    if height <= depth:
+        node.shape = found
+    return found
+
 
+def shape_of(data: list) -> tuple[str, tuple]:
+    """A skeleton read from JSON."""
+    return data[0], tuple(map(shape_of, data[1]))
 
-def runs(node: Node) -> list[tuple[tuple[str, list], list[Node]]]:
+
+def runs(node: Node) -> list[tuple[tuple[str, tuple], list[Node]]]:
     """The element children by runs of the same shape."""
-    out: list[tuple[tuple[str, list], list[Node]]] = []
+    out: list[tuple[tuple[str, tuple], list[Node]]] = []
     for child in node.children:
         if isinstance(child, Node) and child.tag not in INLINE:
             shape = skeleton(child)
@@ -187,12 +207,19 @@ def runs(node: Node) -> list[tuple[tuple[str, list], list[Node]]]:
     return out
 
 
-def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
+def _nodes(shape: tuple[str, tuple]) -> int:
+    return 1 + sum(map(_nodes, shape[1]))
+
+
+def matching(a, b) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two forests of (tag, children): size, and the pairs of roots.
 
     Trees match only if their roots have the same tag; then the matching is one more than the
     best order-preserving matching of their children, found by dynamic programming.
     """
+    if a == b:
+        # only equal places match all
+        return sum(map(_nodes, a)), [(i, i) for i in range(len(a))]
     size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     weight = [[1 + matching(x[1], y[1])[0] if x[0] == y[0] else 0 for y in b] for x in a]
     for i in range(len(a)):
@@ -210,50 +237,84 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return size[-1][-1], pairs[::-1]
 
 
-def aligned(node: Node, wrapper: list, place: str = ""):
+def aligned(node: Node, wrapper: tuple, place: str = ""):
     """(slot, nodes): the runs of ``node``'s tree matched to the wrapper's nodes, named by their path there."""
     if not wrapper[1]:
         return
     own = runs(node)
-    for i, j in matching([shape for shape, _ in own], wrapper[1])[1]:
+    for i, j in matching(tuple(shape for shape, _ in own), wrapper[1])[1]:
         slot = f"{place}/{j}"
         yield slot, own[i][1]
         if len(own[i][1]) == 1:
             yield from aligned(own[i][1][0], wrapper[1][j], slot)
 
 
-def own_text(nodes: list[Node]) -> str:
-    return " ".join(x for node in nodes for x in blocks(node, lambda child: child.around and child.tag == "head"))
+def raw_text(node: Node) -> str:
+    """All text below ``node`` but a head's, blocks apart."""
+    if node.raw is None:
+        parts = []
+        for child in node.children:
+            if child is BREAK:
+                parts.append("\n")
+            elif isinstance(child, str):
+                parts.append(child)
+            elif child.tag in INLINE:
+                parts.append(raw_text(child))
+            elif child.tag != "head":
+                parts += ("\n", raw_text(child), "\n")
+        node.raw = "".join(parts)
+    return node.raw
+
+
+def item(node: Node) -> int:
+    """Digest of what a node of a slot says."""
+    text = raw_text(node)
+    return digest(" ".join((html.unescape(text) if "&" in text else text).split()))
+
 
+def holders(root: Node, tag: str, skip) -> list[Node]:
+    """Outermost ``tag`` elements outside subtrees for which ``skip`` holds."""
+    out: list[Node] = []
 
-def main_text(page: str, wrapper: list | None, constant: frozenset) -> str:
-    """The article of a page: its varying slots that do not stand around an article.
+    def find(x: Node) -> None:
+        for child in x.children:
+            if isinstance(child, Node) and not skip(child):
+                if child.tag == tag or tag == "main" and child.role == "main":
+                    out.append(child)
+                else:
+                    find(child)
+
+    find(root)
+    return out
 
-    Slots whose text is the template's are left out, unless an article or main element holds
-    them. Where such elements have text, they are the whole content.
+
+def content(root: Node, template: set[int]) -> list[str]:
+    """Blocks of the page's article: what is not in ``template``, then by the parts of elements in HTML.
+
+    An article or main element that has such text is the whole content; else all of the page is.
+    """
+    marks = lambda x: x.around or id(x) in template or bool(x.marked)
+    for tag in MAIN:
+        found = [x for holder in holders(root, tag, marks) for x in blocks(holder, marks)]
+        if found:
+            return found
+    return blocks(root, marks)
+
+
+def main_text(page: str, wrapper: tuple | None, constant: frozenset) -> str:
+    """The article of a page: its varying slots, without what HTML's parts put around an article.
+
+    Nodes that say what the template says in their slot are left out, inside article and main
+    elements too.
     """
     root = parse(page)
     template: set[int] = set()
     if wrapper and constant:
+        slots = {slot for slot, _ in constant}
         for slot, nodes in aligned(root, wrapper):
-            if (slot, digest(own_text(nodes))) in constant:
-                template.update(map(id, nodes))
-    for tag in MAIN:
-        holders: list[Node] = []
-
-        def find(x: Node) -> None:
-            for child in x.children:
-                if isinstance(child, Node) and not child.around:
-                    if child.tag == tag or tag == "main" and child.role == "main":
-                        holders.append(child)
-                    else:
-                        find(child)
-
-        find(root)
-        found = [x for holder in holders for x in blocks(holder, lambda child: child.around)]
-        if found:
-            return " ".join(found)
-    return " ".join(blocks(root, lambda child: child.around or id(child) in template))
+            if slot in slots:
+                template.update(id(node) for node in nodes if (slot, item(node)) in constant)
+    return " ".join(content(root, template))
 
 
 def digest(text: str) -> int:
@@ -261,12 +322,15 @@ def digest(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.adler32(data)
 
 
+EMPTY = digest("")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, constant) per host of ``pages`` (page_id, host, html), as JSON.
 
     The wrapper is the shape of one page per host, the one whose id has the smallest hash. All
-    pages are aligned to it; per slot and text, the pages are counted in the tasks first. A slot's
-    text is the template's if it stands on ``CONSTANT`` of the aligned pages.
+    pages are aligned to it. What a node says in its slot is the template's if it does so on
+    ``CONSTANT`` of the pages aligned there; equal pages count once.
     """
 
     def shape(batches):
@@ -274,38 +338,38 @@ def wrappers(pages: DataFrame) -> DataFrame:
             found = [json.dumps(skeleton(parse(x or ""))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "wrapper"])
 
-    def count(batches):
-        seen: Counter = Counter()
+    def items(batches):
+        seen: set = set()
 
         def out():
-            keys = list(seen)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "host": pa.array([k[0] for k in keys], pa.string()),
-                    "slot": pa.array([k[1] for k in keys], pa.string()),
-                    "text": pa.array([k[2] for k in keys], pa.int64()),
-                    "n": pa.array(seen.values(), pa.int64()),
-                }
-            )
+            columns = zip(*seen)
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, ["host", "slot", "text", "page"])
 
+        load = {}
         for batch in batches:
             for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
+                if wrapper not in load:
+                    load.clear()
+                    load[wrapper] = shape_of(json.loads(wrapper))
                 root = parse(page or "")
-                seen.update((host, slot, digest(own_text(nodes))) for slot, nodes in aligned(root, json.loads(wrapper)))
-            if len(seen) > FLUSH:
-                yield out()
-                seen = Counter()
+                name = digest(page or "")
+                seen.update((host, slot, item(node), name) for slot, nodes in aligned(root, load[wrapper]) for node in nodes)
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen = set()
         if seen:
             yield out()
 
     first = pages.groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id").alias("k"), "page_id"))["page_id"].alias("page_id"))
     chosen = pages.join(first, ["host", "page_id"]).dropDuplicates(["host"])
     shapes = materialize(chosen.select("host", "html").mapInArrow(shape, "host string, wrapper string"))
-    counts = pages.join(shapes, "host").select("host", "html", "wrapper")
-    counts = counts.mapInArrow(count, "host string, slot string, text long, n long").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
-    slots = counts.groupBy("host", "slot").agg(F.sum("n").alias("all"), F.max(F.struct("n", "text")).alias("top"))
-    fixed = slots.where((F.col("top.n") >= LEAST_PAGES) & (F.col("top.n") >= CONSTANT * F.col("all")))
-    fixed = fixed.groupBy("host").agg(F.to_json(F.collect_list(F.struct("slot", F.col("top.text").alias("text")))).alias("constant"))
+    found = pages.join(shapes, "host").select("host", "html", "wrapper")
+    found = materialize(found.mapInArrow(items, "host string, slot string, text long, page long").distinct())
+    sizes = found.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("all"))
+    texts = found.where(F.col("text") != EMPTY).groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    fixed = texts.join(sizes, ["host", "slot"]).where(F.col("n") >= CONSTANT * F.col("all"))
+    fixed = fixed.groupBy("host").agg(F.to_json(F.collect_list(F.struct("slot", "text"))).alias("constant"))
     return materialize(shapes.join(fixed, "host", "left"))
 
 
@@ -330,7 +394,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if (w, c) not in load:
                     load.clear()
                     fixed = frozenset((y["slot"], y["text"]) for y in json.loads(c)) if c else frozenset()
-                    load[w, c] = (json.loads(w) if w else None, fixed)
+                    load[w, c] = (shape_of(json.loads(w)) if w else None, fixed)
                 found.append(main_text(x, *load[w, c]))
             n = pa.array([len(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), n], ["page_id", "url", "text", "n_chars"])

@@ -61,3 +61,11 @@ def test_template_of_a_host(spark):
     assert all(found[i][0] == f"Story {i} Text of {i}." for i in range(12))
     assert found[20] == ("x", 1) and found[21] == ("", 0) and found[None] == ("", 0)
     assert wrapper.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_template_inside_an_article(spark):
+    notice = "<p>Read our terms first.</p>"
+    page = lambda i: f"<html><body><article><h1>Head {i}</h1>{notice}<p>Text of {i}.</p><p>More of {i}.</p><div><b>Buy</b> now</div></article></body></html>"
+    rows = [(i, f"http://host.example/{i}", page(i), "") for i in range(12)]
+    got = wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i} Text of {i}. More of {i}." for i in range(12)}

@@ -40,6 +40,8 @@ MARKS = frozenset(
     "header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
     "comment comments disqus reply replies respond discussion share sharing social related recommended toolbar pagination pager skip form search copyright".split()
 )
+#: Of these, words of what readers wrote: more of it than of the article is no sign of a layout.
+READERS = frozenset("comment comments disqus reply replies respond discussion".split())
 MAIN = ("article", "main")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -288,17 +290,43 @@ def holders(root: Node, tag: str, skip) -> list[Node]:
     return out
 
 
+def wide(root: Node, template: set[int]) -> dict[int, bool]:
+    """Marked elements that hold most of the page's varying text, by id; true for those of readers' words."""
+    length: dict[int, int] = {}
+    marked: list[Node] = []
+
+    def measure(x: Node) -> int:
+        n = 0
+        for child in x.children:
+            if isinstance(child, str):
+                n += len(child.strip())
+            elif child is not BREAK and not child.around and id(child) not in template:
+                n += measure(child)
+        if x.marked:
+            length[id(x)] = n
+            marked.append(x)
+        return n
+
+    half = measure(root) / 2
+    return {id(x): not READERS.isdisjoint(x.marked) for x in marked if length[id(x)] > half}
+
+
 def content(root: Node, template: set[int]) -> list[str]:
     """Blocks of the page's article: what is not in ``template``, then by the parts of elements in HTML.
 
-    An article or main element that has such text is the whole content; else all of the page is.
+    An article or main element that has such text is the whole content; else all of the page is. Words of
+    class or id cut an element out only if it does not hold most of the varying text, or the only article
+    or main element. Comments longer than an article stay out, unless nothing else is left.
     """
-    marks = lambda x: x.around or id(x) in template or bool(x.marked)
-    for tag in MAIN:
-        found = [x for holder in holders(root, tag, marks) for x in blocks(holder, marks)]
-        if found:
-            return found
-    return blocks(root, marks)
+    kept = wide(root, template)
+    roles = lambda x: x.around or id(x) in template
+    marks = lambda x: roles(x) or bool(x.marked) and kept.get(id(x), True)
+    for skip in (marks, roles):
+        for tag in MAIN:
+            found = [x for holder in holders(root, tag, skip) for x in blocks(holder, marks)]
+            if found:
+                return found
+    return blocks(root, marks) or blocks(root, lambda x: roles(x) or bool(x.marked) and id(x) not in kept)
 
 
 def main_text(page: str, wrapper: tuple | None, constant: frozenset) -> str:
@@ -330,7 +358,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     The wrapper is the shape of one page per host, the one whose id has the smallest hash. All
     pages are aligned to it. What a node says in its slot is the template's if it does so on
-    ``CONSTANT`` of the pages aligned there; equal pages count once.
+    ``CONSTANT`` of the pages aligned there; pages with the same content (as far as one page
+    shows it) count once, so that copies of a page do not make its text a template.
     """
 
     def shape(batches):
@@ -353,7 +382,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     load.clear()
                     load[wrapper] = shape_of(json.loads(wrapper))
                 root = parse(page or "")
-                name = digest(page or "")
+                name = digest("\n".join(content(root, set())))
                 seen.update((host, slot, item(node), name) for slot, nodes in aligned(root, load[wrapper]) for node in nodes)
                 if len(seen) > FLUSH:
                     yield out()

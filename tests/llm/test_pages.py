@@ -69,3 +69,25 @@ def test_template_inside_an_article(spark):
     rows = [(i, f"http://host.example/{i}", page(i), "") for i in range(12)]
     got = wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Head {i} Text of {i}. More of {i}." for i in range(12)}
+
+
+def test_copies_are_no_template(spark):
+    plain = lambda i, at: f"<html><body><div><p>Welcome</p></div><section><h2>Story {i}</h2><p>Text of {i}.</p></section><footer>{at}</footer></body></html>"
+    held = lambda i, at: f"<html><body><p>{at}</p><article><h2>Story {i}</h2><p>Text of {i}.</p></article></body></html>"
+    rows = [(i, "http://copies.example/", plain(min(i, 2), 0), "") for i in range(12)]
+    rows += [(20 + i, "http://footers.example/", plain(min(i, 2), i), "") for i in range(12)]
+    rows += [(40 + i, "http://held.example/", held(min(i, 2), i), "") for i in range(12)]
+    found = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(12):
+        assert found[i].endswith(f"Story {min(i, 2)} Text of {min(i, 2)}.") and found[20 + i] == found[i]
+        assert found[40 + i] == f"Story {min(i, 2)} Text of {min(i, 2)}."
+
+
+def test_class_words_of_a_layout():
+    assert text("<div class='layout has-sidebar'><article>all of it</article></div>") == "all of it"
+    assert text("<div class='layout has-sidebar'><p>all of it</p><div class=sidebar>S</div></div><div class=ad>A</div>") == "all of it"
+    assert text("<main><h1>H</h1><div class='page with-header'><p>a long text</p><div class=share>x</div></div></main>") == "H a long text"
+    assert text("<div class='post comments-open'><p>all of it</p></div>") == "all of it"
+    assert text("<article>the whole story</article><div class=related><article>teaser</article></div>") == "the whole story"
+    assert text("<article>short</article><div class=has-sidebar><article>the whole story</article></div>") == "short the whole story"
+    assert text("<article><p>a</p><div id=comments>much longer words of readers</div></article>") == "a"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,8 +46,8 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.when(fine, F.xxhash64("part", "embedding")))
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
-    """Adds ``signs``: per table, ``BITS`` signs of random projections."""
+def signatures(nodes: DataFrame, turn: int = 0) -> DataFrame:
+    """Adds ``signs``: per table, ``BITS`` signs of random projections, others in each turn."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
@@ -54,7 +56,7 @@ def signatures(nodes: DataFrame) -> DataFrame:
             for row in batch.column(1).to_pylist():
                 x = np.array(row, np.float64)
                 if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng(len(x)).normal(size=(len(x), TABLES * BITS))
+                    planes[len(x)] = np.random.default_rng((len(x), turn)).normal(size=(len(x), TABLES * BITS))
                 bits = (x / np.abs(x).max() @ planes[len(x)] > 0).reshape(TABLES, BITS)
                 signs.append((bits << np.arange(BITS)).sum(1).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.list_(pa.int64()))], ["node", "signs"])
@@ -63,17 +65,20 @@ def signatures(nodes: DataFrame) -> DataFrame:
 
 
 def nearest(k: int):
-    """Per group of rows (node, embedding): each node's ``k`` nearest others of the group."""
+    """Per group of rows (node, embedding, component): each node's ``k`` nearest of the group outside its component."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, x = group.column("node").to_numpy(), matrix(group.column("embedding"))
         near = x @ x.T
-        np.fill_diagonal(near, -2)
+        component = group.column("component").to_numpy()
+        near[component[:, None] == component[None]] = -2
         m = min(k, len(ids) - 1)
         if m < 1:
             return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
         top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-        return pa.table({"node": np.repeat(ids, m), "other": ids[top.ravel()], "cos": np.take_along_axis(near, top, 1).ravel()})
+        cos = np.take_along_axis(near, top, 1).ravel()
+        other = cos > -1.5
+        return pa.table({"node": np.repeat(ids, m)[other], "other": ids[top.ravel()][other], "cos": cos[other]})
 
     return run
 
@@ -88,7 +93,7 @@ def best(candidates: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def first_graph(nodes: DataFrame, k: int) -> DataFrame:
+def first_graph(nodes: DataFrame, k: int, turn: int = 0) -> DataFrame:
     """Neighbour lists from groups of about ``BUCKET`` nodes that agree in signs of random projections.
 
     The number of signs follows the size of the label. Groups that are still larger, such as many
@@ -96,44 +101,86 @@ def first_graph(nodes: DataFrame, k: int) -> DataFrame:
     """
     sizes = nodes.groupBy("part").agg(F.count("*").alias("n"))
     bits = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / BUCKET)).cast("int")))
-    rows = signatures(nodes).join(sizes, "part").select("part", "node", "embedding", bits.alias("bits"), F.posexplode("signs").alias("table", "sign"))
+    rows = signatures(nodes, turn).join(sizes, "part").select("part", "node", "component", "embedding", bits.alias("bits"), F.posexplode("signs").alias("table", "sign"))
     rows = rows.withColumn("sign", F.col("sign").bitwiseAND(F.expr("shiftleft(1L, bits) - 1")))
     key = ["part", "table", "sign"]
     full = rows.groupBy(*key).agg(F.count("*").alias("m"))
     rows = rows.join(full, key)
     rows = rows.withColumn("split", F.pmod(F.xxhash64("table", "node"), F.ceil(F.col("m") / (2 * BUCKET))))
-    found = rows.select(*key, "split", "node", "embedding").groupBy(*key, "split").applyInArrow(nearest(k), EDGES)
+    found = rows.select(*key, "split", "node", "component", "embedding").groupBy(*key, "split").applyInArrow(nearest(k), EDGES)
     return best(found, k)
 
 
-def refined(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+def refined(nodes: DataFrame, graph: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
     """One round of NN-descent: neighbours of a node, in both directions, are held against each other.
 
     A node's reverse neighbours are cut to its ``k`` nearest (in two steps, so that a node in very
     many lists is not sorted in one task): the usual bound of the method; recall is audited later.
+    Lists ``own`` are followed too.
     """
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "cos").withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)))
     for part in (["node", "salt"], ["node"]):
         order = Window.partitionBy(*part).orderBy(F.desc("cos"), "other")
         back = back.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    around = graph.select("node", "other").unionByName(back.select("node", "other")).distinct()
-    around = around.unionByName(graph.select("node", F.col("node").alias("other")).distinct())
-    members = around.withColumnsRenamed({"node": "center", "other": "node"}).join(nodes.select("node", "embedding"), "node")
-    found = members.select("center", "node", "embedding").groupBy("center").applyInArrow(nearest(k), EDGES)
+    around = graph.select("node", "other").unionByName(back.select("node", "other"))
+    if own is not None:
+        around = around.unionByName(own.select("node", "other"))
+    around = around.unionByName(around.select("node", F.col("node").alias("other"))).distinct()
+    members = around.withColumnsRenamed({"node": "center", "other": "node"}).join(nodes.select("node", "component", "embedding"), "node")
+    found = members.select("center", "node", "component", "embedding").groupBy("center").applyInArrow(nearest(k), EDGES)
     return best(found.unionByName(graph), k)
 
 
-def link_counts(nodes: DataFrame, member: DataFrame, limit: float) -> DataFrame:
-    """(node, links): vectors that a node links with, counted within its component.
+def settled(nodes: DataFrame, graph: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
+    """The graph after rounds of NN-descent, until few lists still change."""
+    for _ in range(ROUNDS):
+        new = materialize(refined(nodes, graph, k, own))
+        moved = new.join(graph, ["node", "other"], "left_anti").count()
+        graph = new
+        if moved <= 0.001 * max(1, graph.count()):
+            break
+    return graph
 
-    This enlarges saturated lists to all that they can hold: the members of a component are
-    compared whole, block by block; only counts leave a block, never pairs.
+
+def across(nodes: DataFrame, graph: DataFrame, edges: DataFrame, limit: float, k: int) -> DataFrame:
+    """(node, component) of ``edges`` (a, b) and of links that full lists of ``graph`` had no room for.
+
+    A link is in neither list of its nodes only if both lists are full of links. Such nodes are searched
+    again, with lists of nodes outside their component alone; what is found joins components, and so on
+    until nothing new is found. A list that is full again joined k others and is searched in the next round.
     """
+    full = graph.where(F.col("cos") >= limit).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    full = materialize(nodes.drop("component").join(full.select("node"), "node", "left_semi"))
+    for turn in count(1):
+        member = materialize(components(edges))
+        rows = full.join(member, "node")
+        several = rows.groupBy("part").agg((F.min("component") != F.max("component")).alias("several")).where("several")
+        rows = materialize(rows.join(several, "part", "left_semi"))
+        if rows.isEmpty():
+            return member
+        own = graph.join(rows.select("node"), "node", "left_semi")
+        found = settled(rows, materialize(first_graph(rows, k, turn)), k, own).where(F.col("cos") >= limit)
+        if found.isEmpty():
+            return member
+        edges = member.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+
+def paired(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """Rows (component, low, high, block, node, embedding, size): every pair of blocks of a component."""
     sizes = member.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = nodes.select("node", "embedding", "size").join(member, "node").join(sizes, "component")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"), "block", "node", "embedding", "size")
+    return rows
+
+
+def link_counts(nodes: DataFrame, member: DataFrame, limit: float) -> DataFrame:
+    """(node, links): vectors that a node links with, counted within its component.
+
+    This enlarges saturated lists to all that they can hold: the members of a component are
+    compared whole, block by block; only counts leave a block, never pairs.
+    """
 
     def count(group: pa.Table) -> pa.Table:
         low, high, block = (group.column(c).to_numpy() for c in ("low", "high", "block"))
@@ -147,7 +194,8 @@ def link_counts(nodes: DataFrame, member: DataFrame, limit: float) -> DataFrame:
             node, n = np.concatenate((ids[a], ids[b])), np.concatenate((near @ size[b], size[a] @ near))
         return pa.table({"node": node, "links": n.astype(np.int64)})
 
-    return rows.groupBy("component", "low", "high").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    rows = paired(nodes, member).groupBy("component", "low", "high")
+    return rows.applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def audit(nodes: DataFrame, links: DataFrame, limit: float) -> float:
@@ -183,9 +231,9 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, neighbours: int = NEI
 
     Equal vectors of a label are one node with a size. NN-descent refines neighbour lists of the
     nodes within their label until they settle; edges of at least ``limit`` stay and give
-    components. Lists full of such edges are enlarged to the whole component, compared in blocks.
-    Recall is audited by brute force on a bounded sample against all nodes; below ``RECALL`` the
-    lists are doubled and refined again.
+    components. Lists full of such edges are searched again outside their component, and enlarged
+    to the whole component, compared in blocks. Recall is audited by brute force on a bounded
+    sample against all nodes; below ``RECALL`` the lists are doubled and refined again.
 
     Null labels, and vectors that are null, zero or hold null or non-finite components, link with
     nothing and are their own component; vectors of different lengths do not link. A null vec_id
@@ -196,17 +244,13 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, neighbours: int = NEI
     nodes = rows.where("node is not null").groupBy("node", "part")
     nodes = nodes.agg(F.min("vec_id").alias("first"), F.count("*").alias("size"), F.min_by("embedding", "vec_id").alias("embedding"))
     nodes = materialize(nodes.dropDuplicates(["node"]))
-    k = neighbours
-    graph = materialize(first_graph(nodes, k))
+    nodes = nodes.withColumn("component", F.col("node"))
+    k, graph = neighbours, None
     for turn in range(ENLARGED + 1):
-        for _ in range(ROUNDS):
-            new = materialize(refined(nodes, graph, k))
-            moved = new.join(graph, ["node", "other"], "left_anti").count()
-            graph = new
-            if moved <= 0.001 * max(1, graph.count()):
-                break
+        first = first_graph(nodes, k, turn)
+        graph = settled(nodes, materialize(first if graph is None else best(first.unionByName(graph), k)), k)
         edges = graph.where(F.col("cos") >= limit).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        member = materialize(components(edges))
+        member = across(nodes, graph, edges, limit, k)
         links = materialize(link_counts(nodes, member, limit))
         if turn == ENLARGED or audit(nodes, links, limit) >= RECALL:
             break

@@ -54,3 +54,26 @@ def test_no_vectors(spark):
     assert nndescent.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     got = nndescent.near_vectors(spark.createDataFrame([(None, [1.0], 0, ""), (5, None, None, "")], SCHEMA)).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in got) == [(-1, 0, -1), (5, 0, 5)]
+
+
+def clump(rng, center, n, cos):
+    noise = rng.normal(size=(n, len(center)))
+    noise -= np.outer(noise @ center, center)
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return center + noise * np.sqrt(1 / cos - 1)
+
+
+def test_links_between_clumps_larger_than_lists(spark):
+    rng = np.random.default_rng(8)
+    out, at = [], 0
+    for label, sizes in enumerate([(100, 100), (300, 100, 40)]):
+        first, second = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for j, n in enumerate(sizes):
+            angle = j * np.arccos(0.985)
+            for v in clump(rng, np.cos(angle) * first + np.sin(angle) * second, n, 0.9996):
+                out.append((at, [float(y) for y in v], label, ""))
+                at += 1
+    want = brute(out)
+    assert want[0][0] > 150 and len({c for _, c in want.values()}) == 2
+    got = nndescent.near_vectors(spark.createDataFrame(out, SCHEMA).repartition(3)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want

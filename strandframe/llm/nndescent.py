@@ -23,6 +23,8 @@ SALTS = 16
 SAMPLE = 256
 RECALL = 0.98
 ENLARGED = 2
+#: Nodes of a small group.
+SMALL = 32
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -198,32 +200,85 @@ def link_counts(nodes: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     return rows.applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, links: DataFrame, limit: float) -> float:
-    """Share of the links of ``SAMPLE`` linked and ``SAMPLE`` other nodes that were found, by brute force over all nodes."""
-    first = lambda df: df.orderBy(F.xxhash64("node")).limit(SAMPLE)
-    sample = first(nodes.join(links, "node", "left_semi")).unionByName(first(nodes.join(links, "node", "left_anti")))
-    sample = sample.join(links, "node", "left").select("node", "part", "embedding", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
-    ids, parts = sample.column("node").to_numpy(), np.array(sample.column("part").to_pylist())
-    vectors, found = sample.column("embedding").to_pylist(), sum(sample.column("links").to_pylist())
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, parts, vectors))
+def all_edges(nodes: DataFrame, limit: float) -> DataFrame:
+    """(a, b): edges with the components of all links, by comparing all nodes of a part in blocks.
 
-    def count(batches):
-        ids, parts, vectors = shared.value
+    Of the links among the nodes of two blocks, only edges to the first node of each component leave.
+    """
+
+    def join(group: pa.Table) -> pa.Table:
+        ids, x = group.column("node").to_numpy(), matrix(group.column("embedding"))
+        near, name = x @ x.T >= limit, np.arange(len(ids))
+        while True:
+            new = np.minimum(name, np.where(near, name[None], len(ids)).min(1))
+            new = new[new]
+            if (new == name).all():
+                break
+            name = new
+        rest = name != np.arange(len(ids))
+        return pa.table({"a": ids[rest], "b": ids[name[rest]]})
+
+    member = nodes.select("node", F.xxhash64("part").alias("component"))
+    return paired(nodes, member).groupBy("component", "low", "high").applyInArrow(join, "a long, b long")
+
+
+def audit(nodes: DataFrame, member: DataFrame, links: DataFrame, limit: float, turn: int = 0) -> tuple[float, DataFrame]:
+    """(recall, edges): the worst recall of three kinds of nodes, by brute force of samples against all nodes,
+    and edges (a, b) to the components that the sampled nodes should have been linked with.
+
+    Links inside a component are counted whole, so those missed lead out of it. Members of groups of up to
+    ``SMALL`` nodes and of larger ones: the mean over ``SAMPLE`` nodes of each one's share of links that were
+    found. Nodes without links: linked nodes as a share of those that should be, where the sample tells how
+    many more there are.
+    """
+    sizes = member.groupBy("component").agg(F.count("*").alias("m"))
+    rows = nodes.drop("component").join(member, "node", "left").join(sizes, "component", "left")
+    kind = F.when(F.col("component").isNull(), 0).when(F.col("m") <= SMALL, 1).otherwise(2)
+    rows = materialize(rows.select("node", "part", "embedding", "size", F.coalesce("component", "node").alias("component"), kind.alias("kind")))
+    numbers = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    if not numbers:
+        return 1.0, rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    order = F.xxhash64(F.lit(turn), "node")
+    samples = [rows.where(F.col("kind") == i).orderBy(order).limit(SAMPLE) for i in numbers]
+    sample = samples[0]
+    for x in samples[1:]:
+        sample = sample.unionByName(x)
+    sample = sample.join(links, "node", "left").select("node", "part", "embedding", "component", "kind", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
+    ids, component = sample.column("node").to_numpy(), sample.column("component").to_numpy()
+    parts, vectors = np.array(sample.column("part").to_pylist()), sample.column("embedding").to_pylist()
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, parts, component, vectors))
+
+    def missed(batches):
+        ids, parts, component, vectors = shared.value
         group = {p: np.flatnonzero(parts == p) for p in set(parts.tolist())}
         unit = {p: matrix(pa.array([vectors[i] for i in at])) for p, at in group.items()}
-        total = 0
         for batch in batches:
             part = np.array(batch.column(1).to_pylist())
-            size, node = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+            node, size, names = (batch.column(i).to_numpy() for i in (0, 3, 4))
             for p, at in group.items():
                 here = np.flatnonzero(part == p)
-                if len(here):
-                    near = (matrix(batch.column(2).take(pa.array(here))) @ unit[p].T >= limit) & (node[here][:, None] != ids[at][None])
-                    total += int((near * size[here][:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
-
-    true = nodes.select("node", "part", "embedding", "size").mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
-    return found / true if true else 1.0
+                if not len(here):
+                    continue
+                near = (matrix(batch.column(2).take(pa.array(here))) @ unit[p].T >= limit) & (names[here][:, None] != component[at][None])
+                for j in np.flatnonzero(near.any(0)):
+                    found = here[near[:, j]]
+                    _, first, place = np.unique(names[found], return_index=True, return_inverse=True)
+                    n = np.bincount(place, size[found]).astype(np.int64)
+                    a = np.full(len(first), ids[at[j]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(node[found[first]]), pa.array(n)], ["a", "b", "n"])
+
+    found = materialize(rows.select("node", "part", "embedding", "size", "component").mapInArrow(missed, "a long, b long, n long"))
+    lost = {r["a"]: r["n"] for r in found.groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    shares: dict[int, list[float]] = {}
+    for node, kind, n in zip(ids.tolist(), sample.column("kind").to_pylist(), sample.column("links").to_pylist()):
+        more = lost.get(node, 0)
+        shares.setdefault(kind, []).append(float(more > 0) if kind == 0 else n / (n + more) if n + more else 1.0)
+    recall = [float(np.mean(x)) for kind, x in shares.items() if kind]
+    if 0 in shares:
+        linked = numbers.get(1, 0) + numbers.get(2, 0)
+        more = np.mean(shares[0]) * numbers[0]
+        recall.append(linked / (linked + more) if more else 1.0)
+    return min(recall), found.select("a", "b")
 
 
 def near_vectors(vectors: DataFrame, limit: float = LIMIT, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -232,8 +287,10 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, neighbours: int = NEI
     Equal vectors of a label are one node with a size. NN-descent refines neighbour lists of the
     nodes within their label until they settle; edges of at least ``limit`` stay and give
     components. Lists full of such edges are searched again outside their component, and enlarged
-    to the whole component, compared in blocks. Recall is audited by brute force on a bounded
-    sample against all nodes; below ``RECALL`` the lists are doubled and refined again.
+    to the whole component, compared in blocks. Recall is audited by brute force on bounded samples
+    of unlinked nodes and of small and large groups against all nodes; below ``RECALL`` the lists
+    are doubled and refined again, with other projections, and after ``ENLARGED`` such turns all
+    nodes of a label are compared in blocks.
 
     Null labels, and vectors that are null, zero or hold null or non-finite components, link with
     nothing and are their own component; vectors of different lengths do not link. A null vec_id
@@ -252,9 +309,17 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, neighbours: int = NEI
         edges = graph.where(F.col("cos") >= limit).select(F.col("node").alias("a"), F.col("other").alias("b"))
         member = across(nodes, graph, edges, limit, k)
         links = materialize(link_counts(nodes, member, limit))
-        if turn == ENLARGED or audit(nodes, links, limit) >= RECALL:
+        recall, missed = audit(nodes, member, links, limit, turn)
+        if not missed.isEmpty():
+            # found by the audit, so they are not left out
+            member = materialize(components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)))
+            links = materialize(link_counts(nodes, member, limit))
+        if recall >= RECALL:
             break
         k *= 2
+    else:
+        member = materialize(components(all_edges(nodes, limit)))
+        links = materialize(link_counts(nodes, member, limit))
     named = nodes.select("node", "first", "size").join(member, "node", "left").join(links, "node", "left")
     lowest = named.where("component is not null").groupBy("component").agg(F.min("first").alias("lowest"))
     named = named.join(lowest, "component", "left")

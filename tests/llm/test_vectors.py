@@ -77,3 +77,18 @@ def test_links_between_clumps_larger_than_lists(spark):
     assert want[0][0] > 150 and len({c for _, c in want.values()}) == 2
     got = nndescent.near_vectors(spark.createDataFrame(out, SCHEMA).repartition(3)).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_audit_sees_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(9)
+    hot = clump(rng, np.eye(32)[0], 300, 0.9996)
+    pairs = [x for _ in range(40) for x in clump(rng, np.linalg.qr(rng.normal(size=(32, 1)))[0][:, 0], 2, 0.9996)]
+    rows = [(i, "p", [float(y) for y in v], 50 if i < 300 else 1) for i, v in enumerate([*hot, *pairs])]
+    nodes = spark.createDataFrame(rows, "node long, part string, embedding array<double>, size long")
+    member = lambda linked: spark.createDataFrame([(i, 0 if i < 300 else i - i % 2) for i in range(linked)], "node long, component long")
+    for linked, whole in ((300, False), (380, True)):
+        links = nndescent.link_counts(nodes, member(linked), 0.98)
+        recall, missed = nndescent.audit(nodes, member(linked), links, 0.98)
+        assert (recall >= nndescent.RECALL, missed.isEmpty()) == (whole, whole)
+    edges = {(r.a, r.b) for r in nndescent.all_edges(nodes, 0.98).collect()}
+    assert cases.groups(range(380), edges) == {i: 0 if i < 300 else i - i % 2 for i in range(380)}

@@ -208,7 +208,7 @@ def _(fx):
 
 @query("k9_benchmark_classifiers")
 def _(fx):
-    return MO.benchmark_classifiers(normal_rows(fx), splits(fx), FEATURES, n_iter=2)
+    return MO.benchmark_classifiers(normal_rows(fx), splits(fx), FEATURES)
 
 
 @query("k10_benchmark_on_embedding")

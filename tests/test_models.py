@@ -50,3 +50,34 @@ def test_classifiers_separate_what_is_separable(spark):
     got = MO.benchmark_classifiers(x, folds, ["0", "1"], models=["random_forest", "svm"], n_iter=2).collect()
     assert len(got) == 8 and {(r.model, r.fold, r.side) for r in got} == {(m, s, p) for m in ("random_forest", "svm") for s in (0, 1) for p in ("train", "test")}
     assert all(r.accuracy >= 0.9 for r in got)
+
+
+def test_the_best_of_several_draws_is_taken(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    class Draw:
+        made = 0
+
+        def __init__(self):
+            Draw.made += 1
+            self.good, self.fits = Draw.made == MO.DRAWS, []
+
+        def fit(self, rows):
+            self.fits.append(rows)
+            return self
+
+        def transform(self, df):
+            right = F.col("label") if self.good else 1 - F.col("label")
+            return df.withColumn("prediction", right).withColumn("probability", array_to_vector(F.array(1 - right, right)))
+
+    draws = []
+    monkeypatch.setattr(MO, "_estimator", lambda name, rng: draws.append(Draw()) or draws[-1])
+    x = spark.createDataFrame([(i, i % 2, [float(i)]) for i in range(40)], "id_subject int, label int, features array<double>")
+    folds = spark.createDataFrame([(0, i, "valid" if i >= 30 else "train") for i in range(40)], "split int, id_subject int, part string")
+    got = MO.benchmark_on_embedding(x, folds, models=["svm"]).collect()
+    assert [r.accuracy for r in got] == [1.0, 1.0]
+    # each draw is fitted on several inner splits with the same number of subjects of each label
+    assert len(draws) == MO.DRAWS > 1 and all(len(d.fits) == MO.INNER for d in draws[:-1])
+    sides = [sorted((r.label, r["count"]) for r in rows.groupBy("label").count().collect()) for rows in draws[0].fits]
+    assert sides == [[(0.0, 12), (1.0, 12)]] * MO.INNER

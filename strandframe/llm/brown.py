@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import text_bytes
 
-#: Words that exchange clustering moves, and the classes it moves them between.
-HEAD = 10_000
+#: Words that exchange clustering moves: so many at least, and as many as make up this share of the tokens.
+HEAD = 20_000
+COVER = 0.8
+#: The classes it moves them between.
 CLASSES = 48
 #: Classes of all other words, known or not, by their endings.
 ENDINGS = 48
@@ -83,6 +85,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_size(counts: DataFrame, setting: Setting) -> int:
+    """Number of most frequent words to cluster: ``head``, or more if they don't make up ``COVER`` of the tokens.
+
+    Counts are summed by value first; there are at most about sqrt(2 * tokens) different ones.
+    """
+    kept = counts.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST))
+    found = kept.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toArrow()
+    c, n = found.column(0).to_numpy(), found.column(1).to_numpy()
+    if not len(c):
+        return setting.head
+    inside = np.cumsum(c * n)
+    want = COVER * inside[-1]
+    at = int(np.searchsorted(inside, want))
+    short = want - (inside[at] - c[at] * n[at])
+    return max(setting.head, int(n[:at].sum()) + math.ceil(short / c[at]))
+
+
 class Units(dict):
     """Unit of a word given as bytes: its place in the head, or its ending's."""
 
@@ -235,8 +254,9 @@ def exchange(pairs: DataFrame, head: list[str], setting: Setting) -> tuple[np.nd
 def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
 
-    Words of all training texts are counted; the ``head`` most frequent ones get classes by
-    exchange clustering over all their neighbours, all others a class by their ending. A word's
+    Words of all training texts are counted; the ``head`` most frequent ones, or more up to ``COVER``
+    of the tokens, get classes by exchange clustering over all their neighbours. The tail is not
+    clustered: its words get a class by their ending. A word's
     probability is that of its class after the class before it (smoothed by class frequencies)
     times that of the word in its class (add-``ADD``, with a share for unknown words). Texts begin
     after an end and end with one.
@@ -256,6 +276,7 @@ def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     train = docs.where(is_training(F.col("doc_id")))
     counts = materialize(word_counts(train))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    setting = replace(setting, head=head_size(counts, setting))
     frequent = counts.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("c"), "word").limit(max(setting.heavy, setting.head)).toArrow()
     words, freq = frequent.column(0).to_pylist(), frequent.column(1).to_pylist()
     head = words[: setting.head]

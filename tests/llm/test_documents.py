@@ -109,6 +109,13 @@ def test_class_probabilities_sum_to_one(spark):
     assert 0.3 < sum(10 ** got[i] for i, _ in rows[1:]) <= 1.0 + 1e-9
 
 
+def test_clustered_words_grow_with_the_corpus(spark):
+    few = spark.createDataFrame([(f"w{i}", 10) for i in range(100)] + [("", 50)], "word string, c long")
+    assert brown.head_size(few, brown.Setting(head=30)) == 80
+    assert brown.head_size(few, brown.Setting(head=90)) == 90
+    assert brown.head_size(few.limit(0), brown.Setting(head=7)) == 7 and brown.HEAD >= 20_000
+
+
 def test_exchange_finds_the_better_class():
     # two kinds of words that alternate: x y x y; z behaves like x and starts in y's class
     matrix = np.array([[0.0, 50.0, 0.0], [60.0, 0.0, 0.0], [0.0, 0.0, 0.0]])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, licenses, mixing, nndescent, packing, quality, shingle_join, suffix, tokens, wrapper
+from . import alignment, brown, licenses, mixing, nndescent, packing, quality, ranked, shingle_join, suffix, tokens, windows, wrapper
 from .common import modest_batches
 
 MIX_SQL = """
@@ -22,6 +22,29 @@ r AS (SELECT d.doc_id, d.size, b.total, b.target, b.budget // greatest(b.total,
 SELECT doc_id, size, total AS source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM r
 """
 
+SEARCH_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), TERM) AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), TERM)) AS ts FROM benchmark),
+a AS (SELECT count(*)::BIGINT AS nn, sum(len(ts))::BIGINT AS ll FROM d WHERE len(ts) > 0),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, nn),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(ts)::BIGINT * nn) // ll AS m FROM d, a),
+s AS (SELECT item, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM (SELECT item, item_id, unnest(ts) AS term FROM i) q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10
+""".replace("TERM", "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'")
+
+WINDOW_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS words FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT words, min(doc_id) AS least FROM w GROUP BY words),
+g AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM w JOIN f USING (words) WHERE doc_id > least) GROUP BY r),
+k AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (r))
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+    sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM k
+"""
+
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     modest_batches(spark)
@@ -72,5 +95,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar_documents(documents(spark, sf_dir), width=3, percent=90).drop("digest")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op3_nn_descent, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op8_suffix_family, op9_token_counts, op10_ngram_jaccard)}
-SQL = {"op7_source_mixing": MIX_SQL}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), given(spark, sf_dir, "benchmark"))
+
+
+def op13_window_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.removed_words(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_brown_classes, op3_nn_descent, op4_dynamic_packing, op5_license_rules, op6_wrapper_induction, op7_source_mixing, op8_suffix_family, op9_token_counts, op10_ngram_jaccard, op11_tokenizer_alignment, op12_ranked_search, op13_window_sketch)}
+SQL = {"op7_source_mixing": MIX_SQL, "op12_ranked_search": SEARCH_SQL, "op13_window_sketch": WINDOW_SQL}

@@ -49,7 +49,7 @@ def test_classifiers_separate_what_is_separable(spark):
     folds = spark.createDataFrame([(s, i, "valid" if (i // 2 + s) % 3 == 0 else "train") for s in (0, 1) for i in range(60)], "split int, id_subject int, part string")
     got = MO.benchmark_classifiers(x, folds, ["0", "1"], models=["random_forest", "svm"], n_iter=2).collect()
     assert len(got) == 8 and {(r.model, r.fold, r.side) for r in got} == {(m, s, p) for m in ("random_forest", "svm") for s in (0, 1) for p in ("train", "test")}
-    assert all(r.accuracy >= 0.9 for r in got)
+    assert all(r.accuracy >= 0.9 and r.fit_seconds > 0 and r.score_seconds > 0 for r in got)
 
 
 def test_the_best_of_several_draws_is_taken(spark, monkeypatch):
@@ -77,7 +77,8 @@ def test_the_best_of_several_draws_is_taken(spark, monkeypatch):
     folds = spark.createDataFrame([(0, i, "valid" if i >= 30 else "train") for i in range(40)], "split int, id_subject int, part string")
     got = MO.benchmark_on_embedding(x, folds, models=["svm"]).collect()
     assert [r.accuracy for r in got] == [1.0, 1.0]
+    assert len({r.fit_seconds for r in got}) == 1
     # each draw is fitted on several inner splits with the same number of subjects of each label
-    assert len(draws) == MO.DRAWS > 1 and all(len(d.fits) == MO.INNER for d in draws[:-1])
+    assert len(draws) == MO.DRAWS > 1 and all(len(d.fits) == MO.INNER for d in draws[:-1]) and len(draws[-1].fits) == MO.INNER + 1
     sides = [sorted((r.label, r["count"]) for r in rows.groupBy("label").count().collect()) for rows in draws[0].fits]
     assert sides == [[(0.0, 12), (1.0, 12)]] * MO.INNER

@@ -12,9 +12,7 @@ MATCH, MISMATCH, GAP = 1, -1, -1
 
 
 def align_scores(a: list[str], b: list[str]) -> np.ndarray:
-    """Scores of many pairs at once: the recurrence runs on whole columns of pairs.
-
-    Pairs are handled together per pair of lengths.
+    """Scores of many pairs at once: the recurrence runs on whole diagonals of all pairs of two lengths.
     """
     a, b = np.asarray(a, dtype=object), np.asarray(b, dtype=object)
     out = np.zeros(len(a), dtype=np.int64)
@@ -27,16 +25,21 @@ def align_scores(a: list[str], b: list[str]) -> np.ndarray:
             continue
         x = np.array(["".join(a[rows])], dtype=f"U{m * len(rows)}").view("U1").reshape(len(rows), m)
         y = np.array(["".join(b[rows])], dtype=f"U{n * len(rows)}").view("U1").reshape(len(rows), n)
-        above = np.tile(GAP * np.arange(n + 1), (len(rows), 1))
-        for i in range(m):
-            row = np.empty_like(above)
-            row[:, 0] = GAP * (i + 1)
-            step = np.where(y == x[:, i : i + 1], MATCH, MISMATCH)
-            for j in range(n):
-                best = np.maximum(above[:, j] + step[:, j], above[:, j + 1] + GAP)
-                row[:, j + 1] = np.maximum(best, row[:, j] + GAP)
-            above = row
-        out[rows] = above[:, n]
+        # by diagonals: all cells of one depend on the two before it only
+        width = min(m, n) + 1
+        if m > n:
+            x, y, m, n = y, x, n, m
+        before = last = np.zeros((len(rows), width), np.int64)
+        for d in range(1, m + n + 1):
+            # cell (i, d - i) of the matrix stands at i
+            low, high = max(0, d - n), min(d, m)
+            now = np.full((len(rows), width), GAP * d)
+            i = np.arange(max(low, 1), min(high, d - 1) + 1)
+            if len(i):
+                step = np.where(x[:, i - 1] == y[:, d - i - 1], MATCH, MISMATCH)
+                now[:, i] = np.maximum(before[:, i - 1] + step, np.maximum(last[:, i - 1], last[:, i]) + GAP)
+            before, last = last, now
+        out[rows] = last[:, m]
     return out
 
 

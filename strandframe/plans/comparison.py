@@ -60,7 +60,7 @@ DECILES = [i / 10 for i in range(1, 10)]
     FROM (SELECT distance, round(cosine, 6) AS c FROM kmer_pairs) GROUP BY distance""",
 )
 def _(fx):
-    s = DI.similarity_by_distance(DI.kmer_pair_distance(_vectors(fx)))
+    s = DI.similarity_by_distance(DI.pair_histogram(_vectors(fx)))
     r = lambda c, name: (F.round(c, 6) + 0.0).alias(name)
     return s.select(
         "distance", "n", *[r(c, c) for c in ("mean", "min", "median", "max")], *[r(F.get("deciles", F.lit(i)), f"d{i + 1}") for i in range(9)]
@@ -77,7 +77,7 @@ def _(fx):
       round((n * (x2 * y2 - y1 * x3) - x1 * (x1 * y2 - y1 * x2) + y0 * (x1 * x3 - x2 * x2)) / det, 6) AS c2 FROM d""",
 )
 def _(fx):
-    fit = DI.quadratic_fit(DI.kmer_pair_distance(_vectors(fx)))
+    fit = DI.quadratic_fit(DI.pair_histogram(_vectors(fx)))
     return fit.select(*[(F.round(c, 6) + 0.0).alias(c) for c in ("c0", "c1", "c2")])
 
 

@@ -26,11 +26,15 @@ SHARE = 4096
 
 # Both tokenizers start anew at a blank that follows something other than white space.
 _UNIT = re.compile(r"(?<=\S)(?= )")
+_SPACE_BLANK = re.compile(r"\s ")
 
 
 def units(text: str) -> list[str]:
     """``text`` with a blank before it, in units that neither tokenizer's tokens cross; each begins with a blank."""
-    return _UNIT.split(" " + text)
+    whole = " " + text
+    if "\0" in whole or _SPACE_BLANK.search(whole):
+        return _UNIT.split(whole)
+    return whole.replace(" ", "\0 ").split("\0")[1:]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,12 +56,14 @@ class Aligner:
         # the special token is never found, so its letters need not be in the alphabet
         self.bytes_a = {i: bytes(letters[c] for c in piece if c in letters) for piece, i in self.a.get_vocab().items()}
         self.bytes_b = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
+        self.names_a, self.names_b = ([str(i) for i in range(size)] for size in (1 + max(self.bytes_a), len(self.bytes_b)))
         # a token that held a blank after something else would cross units
         if any(b" " in x.lstrip(b" ") for x in self.bytes_b):
             raise ValueError(f"{pieces} has pieces that go across blanks")
         # a blank at a text's end is a unit that the tokenizer would see as an empty text
         self.blank = self.b.encode("a ")[len(self.b.encode("a")) :]
-        self.cache, self.known = cache, {}
+        # when half of the cache is full, units not met since then are forgotten
+        self.half, self.known, self.older = cache // 2, {}, {}
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -65,46 +71,62 @@ class Aligner:
 
     def look_up(self, wanted: list[list[str]]) -> list[list[tuple | None]]:
         """The ``fragment`` of every unit of every text."""
-        known = self.known
-        if len(known) > self.cache:
-            known.clear()
-        new = list(dict.fromkeys(u for text in wanted for u in text if u not in known))
-        found = {}
+        if len(self.known) > self.half:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, {}
+        for text in wanted:
+            for unit in text:
+                if unit not in known:
+                    if unit in older:
+                        known[unit] = older[unit]
+                    else:
+                        new[unit] = None
         if new:
-            a = self.a.encode_batch_fast(new, add_special_tokens=False)
+            a = self.a.encode_batch_fast(list(new), add_special_tokens=False)
             b = self.b.encode([u[1:] for u in new], num_threads=1)
             for unit, x, y in zip(new, a, b):
-                found[unit] = self.fragment(unit, x.ids, y if unit != " " else self.blank)
-            known.update((u, f) for u, f in found.items() if len(u) <= LONGEST)
-        long = {u: f for u, f in found.items() if len(u) > LONGEST}
-        get = known.__getitem__ if not long else lambda u: long[u] if u in long else known[u]
-        return [list(map(get, text)) for text in wanted]
+                new[unit] = self.fragment(unit, x.ids, y if unit != " " else self.blank)
+            known.update(new)
+        out = [list(map(known.__getitem__, text)) for text in wanted]
+        for unit in new:
+            if len(unit) > LONGEST:
+                del known[unit]
+        return out
 
     def fragment(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
         """(n_a, n_b, n_groups, groups, links) of a unit; None where tokens do not spell it.
 
         A link is the pair of the tokens that end together, a * 2^16 + b as four bytes.
         """
-        x, y, data = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], unit.encode()
-        if b"".join(x) != data or b"".join(y) != data:
+        y = [self.bytes_b[i] for i in b]
+        x = [self.bytes_a[i] for i in a]
+        if b"".join(y) != unit.encode() or b"".join(x) != b"".join(y):
             return None
-        groups, links = [], []
-        i = j = at = 0
-        while i < len(a):
-            first_a, first_b, to, at_b = i, j, at, at
+        names_a, names_b = self.names_a, self.names_b
+        if len(a) == 1 or len(b) == 1:
+            groups = ",".join([names_a[i] for i in a]) + "|" + ",".join([names_b[i] for i in b])
+            return len(a), len(b), 1, groups, (a[-1] << 16 | b[-1]).to_bytes(4, "little")
+        parts, links = [], []
+        i = j = to = at = 0
+        n, m = len(a), len(b)
+        while i < n:
+            left, right = names_a[a[i]], names_b[b[j]]
             to += len(x[i])
+            at += len(y[j])
             i += 1
-            while to != at_b:
-                if to < at_b:
+            j += 1
+            while to != at:
+                if to < at:
+                    left += "," + names_a[a[i]]
                     to += len(x[i])
                     i += 1
                 else:
-                    at_b += len(y[j])
+                    right += "," + names_b[b[j]]
+                    at += len(y[j])
                     j += 1
-            at = to
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            links.append(a[i - 1] << 16 | b[j - 1])
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, "<u4").tobytes()
+            parts.append(left + "|" + right)
+            links.append((a[i - 1] << 16 | b[j - 1]).to_bytes(4, "little"))
+        return n, m, len(parts), ";".join(parts), b"".join(links)
 
 
 def text_key(text: Column) -> Column:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,3 +137,35 @@ def embedder(shared, strand: str, mean: bool):
 
     run.__annotations__ = {"reads": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, T.ArrayType(T.DoubleType()))
+
+
+def embed_words(sentences: pa.Array, words: list[str], matrix: np.ndarray) -> np.ndarray:
+    """Per sentence the mean of the vectors of its known words; zeros when there are none."""
+    out = np.zeros((len(sentences), matrix.shape[1]))
+    lists = pc.split_pattern(sentences.fill_null(""), " ")
+    row = pc.index_in(lists.flatten(), pa.array(words, pa.string())).fill_null(-1).to_numpy()
+    owner = pc.list_parent_indices(lists).to_numpy()
+    owner, row = owner[row >= 0], row[row >= 0]
+    if len(row):
+        ids, starts, sizes = np.unique(owner, return_index=True, return_counts=True)
+        ends = starts + sizes
+        first = 0
+        while first < len(ids):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK_ROWS, side="right")))
+            block = matrix[row[starts[first] : ends[last - 1]]]
+            out[ids[first:last]] = np.add.reduceat(block, starts[first:last] - starts[first], axis=0)
+            first = last
+        out[ids] /= sizes[:, None]
+    return out
+
+
+def word_embedder(shared):
+    """Arrow function sentence -> vector over broadcast (words, matrix)."""
+
+    def run(sentences: pa.Array) -> pa.Array:
+        vectors = embed_words(sentences.cast(pa.string()), *shared.value)
+        offsets = np.arange(len(sentences) + 1, dtype=np.int32) * vectors.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))
+
+    run.__annotations__ = {"sentences": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.DoubleType()))

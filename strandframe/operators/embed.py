@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import AMBIGUOUS, UNK, fragments, kmer_to_int
-from ..functions.vectors import VectorTable, embedder, l2_normalize, vector_sums
+from ..functions.seq import UNK, fragments, kmer_to_int
+from ..functions.vectors import VectorTable, embedder, l2_normalize, vector_sums, word_embedder
 from ..session import fits
 from .filters import wide_embedding
 from .kmers import filter_acgt
@@ -87,34 +87,50 @@ def read_embedding(
     above, k-mers meet their vectors in a shuffle join, and ``keys`` must
     identify a read.
     """
+    return reader(vectors, k, agg, idf, strand, max_bytes)(reads, read, keys, out)
+
+
+def reader(
+    vectors: DataFrame, k: int, agg: str = "mean", idf: DataFrame | None = None, strand: str = "complement", max_bytes: int = TABLE_MAX_BYTES
+) -> Callable[[DataFrame, str, Sequence[str], str], DataFrame]:
+    """E2 for several frames: a function (reads, read, keys, out) that holds the vector table, collected once."""
     if agg not in ("mean", "sum"):
         raise ValueError(agg)
     unit = unit_vectors(vectors, idf)
     table = collect_table(unit, k, max_bytes)
-    if table is not None:
-        shared = reads.sparkSession.sparkContext.broadcast(table.fields())
-        return reads.withColumn(out, embedder(shared, strand, agg == "mean")(F.col(read)))
-    return _embed_by_join(reads, unit, k, agg, strand, read, keys, out)
+    if table is None:
+        return lambda reads, read, keys, out: _embed_by_join(reads, unit, k, agg, strand, read, keys, out)
+    shared = vectors.sparkSession.sparkContext.broadcast(table.fields())
+    return lambda reads, read, keys, out: reads.withColumn(out, embedder(shared, strand, agg == "mean")(F.col(read)))
+
+
+def _small_table(unit: DataFrame, max_bytes: int) -> tuple[list[str], np.ndarray] | None:
+    """(words, matrix) of a vector table within its bounds, by way of Arrow."""
+    if max_bytes <= 0 or not fits(unit, TABLE_MAX_ROWS):
+        return None
+    facts = unit.agg(F.max(F.size("vector")).alias("dim"), F.count("*").alias("n")).first()
+    if not facts.n or facts.n * facts.dim * 8 > max_bytes:
+        return None
+    found = unit.select("kmer", "vector").toArrow().combine_chunks()
+    matrix = found.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, facts.dim)
+    return found.column("kmer").to_pylist(), matrix
 
 
 def collect_table(unit: DataFrame, k: int, max_bytes: int) -> VectorTable | None:
     """The vectors as a table for the tasks, or None when too large or not coded by ACGT."""
-    if max_bytes <= 0 or not fits(unit, TABLE_MAX_ROWS):
+    found = _small_table(unit, max_bytes)
+    if found is None:
         return None
-    facts = unit.agg(
-        F.max(F.size("vector")).alias("dim"),
-        F.count("*").alias("n"),
-        F.sum((F.col("kmer").rlike(AMBIGUOUS) & (F.col("kmer") != UNK)).cast("int")).alias("odd"),
-    ).first()
-    if not facts.n or facts.n * facts.dim * 8 > max_bytes or facts.odd:
+    words, matrix = found
+    unk = np.array([w == UNK for w in words])
+    if any(w.strip("ACGT") for w in words if w != UNK):
         return None
-    rows = unit.select(F.coalesce(kmer_to_int("kmer"), F.lit(-1)).alias("code"), (F.length("kmer") == k).alias("fits"), F.col("kmer") == UNK, "vector")
-    got = [(c, v, is_unk) for c, right_size, is_unk, v in rows.collect() if right_size or is_unk]
-    got.sort(key=lambda r: r[0])
-    plain = [r for r in got if not r[2]]
-    unk = [r for r in got if r[2]]
-    matrix = np.array([r[1] for r in plain + unk], dtype=np.float64).reshape(-1, facts.dim)
-    return VectorTable(k, np.array([r[0] for r in plain], dtype=np.int64), matrix, len(plain) if unk else -1)
+    plain = np.flatnonzero(np.array([len(w) == k for w in words]) & ~unk)
+    letters = np.frombuffer("".join(words[i] for i in plain).encode(), np.uint8).reshape(len(plain), k)
+    codes = (np.searchsorted(np.frombuffer(b"ACGT", np.uint8), letters) << (2 * np.arange(k))).sum(1)
+    order = np.argsort(codes)
+    rows = np.concatenate((plain[order], np.flatnonzero(unk)))
+    return VectorTable(k, codes[order], matrix[rows], len(plain) if unk.any() else -1)
 
 
 def _embed_by_join(reads, unit, k, agg, strand, read, keys, out):
@@ -151,12 +167,29 @@ def read2vec(
 
 
 def sentence_embedding(
-    sentences: DataFrame, vectors: DataFrame, sentence: str = "sentence", keys: Sequence[str] = ("read_id",), out: str = "embedding"
+    sentences: DataFrame,
+    vectors: DataFrame,
+    sentence: str = "sentence",
+    keys: Sequence[str] = ("read_id",),
+    out: str = "embedding",
+    max_bytes: int = TABLE_MAX_BYTES,
 ) -> DataFrame:
-    """E6. Mean of the normalized vectors of the words of a sentence; zeros when none is known."""
+    """E6. Mean of the normalized vectors of the words of a sentence; zeros when none is known.
+
+    As for E2, a small vector table goes to the tasks and sentences are not shuffled; with a larger one words meet
+    their vectors in a shuffle join, and ``keys`` must identify a sentence.
+    """
+    unit = unit_vectors(vectors)
+    table = _small_table(unit, max_bytes)
+    if table is not None:
+        shared = sentences.sparkSession.sparkContext.broadcast(table)
+        return sentences.withColumn(out, word_embedder(shared)(F.col(sentence)))
     width = vectors.select(F.size("vector").alias("d")).first().d
     words = sentences.select(*keys, F.explode(F.split(sentence, " ")).alias("kmer"))
-    sums = words.join(unit_vectors(vectors), "kmer").groupBy(*keys).agg(vector_sums("vector", width, F.avg).alias(out))
+    # equal words of a sentence are one row, so that fewer vectors are joined
+    words = words.groupBy(*keys, "kmer").agg(F.count("*").alias("__n"))
+    sums = [F.sum(F.get("vector", F.lit(i)) * F.col("__n")) / F.sum("__n") for i in range(width)]
+    sums = words.join(unit, "kmer").groupBy(*keys).agg(F.array(*sums).alias(out))
     zeros = F.array_repeat(F.lit(0.0), width)
     return sentences.join(sums, list(keys), "left").withColumn(out, F.coalesce(out, zeros))
 

@@ -44,9 +44,9 @@ def _(fx):
         stream = J.read_stream(fx.spark, folder, SCHEMA)
         J.stream_sample_embedding(stream, fx.kmer_vectors, 5, out, checkpoint).awaitTermination()
     keys = ["part", "sample_id", "grp", "genome", "count"]
-    mil = J.latest(fx.spark, f"{out}/mil").withColumn("part", F.lit("mil"))
+    mil = J.current_cells(fx.spark, out).withColumn("part", F.lit("mil"))
     minus = F.lit(-1).cast("bigint")
-    tabular = J.latest(fx.spark, f"{out}/tabular").withColumns({"part": F.lit("tabular"), "genome": minus, "count": minus})
+    tabular = J.current_tabular(fx.spark, out).withColumns({"part": F.lit("tabular"), "genome": minus, "count": minus})
     return checks(mil, keys, 4).unionByName(checks(tabular, keys, 4))
 
 

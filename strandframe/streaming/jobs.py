@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.vectors import vector_sums
-from ..operators.embed import read_embedding
+from ..operators.embed import reader
 from ..operators.kmers import filter_min_length, kmer_count
 from ..operators.metrics import accepted
 
@@ -64,38 +65,68 @@ def stream_sample_embedding(
     checkpoint: str,
     by: Sequence[str] = ("sample_id", "grp"),
     predict: str = "predict",
+    compact_every: int | None = None,
     **options,
 ) -> StreamingQuery:
-    """L2. Running sums and counts per sample and predicted genome as streaming state.
+    """L2. Sums and counts per sample and predicted genome of each batch of reads, as a table of deltas.
 
-    State has one entry per sample and genome. Each batch replaces two tables:
-    ``mil`` (G5) and ``tabular`` (G1). Files done before are not read again.
+    A batch writes one row per sample and genome that it holds, whatever came before; a batch that
+    is run again replaces its own folder. ``current_cells`` (G5) and ``current_tabular`` (G1) add the
+    deltas up. With ``compact_every`` the deltas so far become one snapshot after so many batches.
     """
+    spark = reads.sparkSession
     dim = vectors.select(F.size("vector").alias("d")).first().d
-    rows = filter_min_length(reads, k, strict=True)
-    embedded = read_embedding(rows, vectors, k, out="__e", **options)
-    sums = [F.sum(F.get("__e", F.lit(i))).alias(f"s{i}") for i in range(dim)]
-    cells = embedded.groupBy(*by, F.col(predict).alias("genome")).agg(F.count("*").alias("count"), *sums)
-
-    def save(state: DataFrame, batch_id: int) -> None:
-        state = state.select(*by, "genome", "count", F.array(*[f"s{i}" for i in range(dim)]).alias("embedding"))
-        state.write.mode("overwrite").parquet(_batch_folder(f"{path}/mil", batch_id))
-        # the table just written, not the state once more
-        mil = state.sparkSession.read.parquet(_batch_folder(f"{path}/mil", batch_id))
-        total = F.sum("count")
-        mean = F.transform(vector_sums("embedding", dim), lambda x: x)
-        tabular = mil.groupBy(*by).agg(total.alias("count"), mean.alias("sums"))
-        tabular = tabular.select(*by, F.transform("sums", lambda x: x / F.col("count")).alias("embedding"))
-        tabular.write.mode("overwrite").parquet(_batch_folder(f"{path}/tabular", batch_id))
-
-    writer = cells.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint)
+    # the vector table is collected once, not per batch
+    embed = reader(vectors, k, **options)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = filter_min_length(batch, k, strict=True).withColumnRenamed(predict, "genome")
+        embedded = embed(rows.select(*by, "genome", "read_id", "read"), "read", (*by, "read_id"), "__e")
+        cells = embedded.groupBy(*by, "genome").agg(F.count("*").alias("count"), vector_sums("__e", dim).alias("embedding"))
+        cells.write.mode("overwrite").parquet(_batch_folder(f"{path}/deltas", batch_id))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_cells(spark, path, by)
+
+    writer = reads.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The table written by the last batch."""
-    tables = spark.read.parquet(path)
-    return tables.filter(F.col("batch") == tables.agg(F.max("batch")).scalar()).drop("batch")
+def _snapshot(spark: SparkSession, path: str) -> int:
+    """Last batch of the newest finished snapshot, -1 without one."""
+    try:
+        return spark.read.schema("upto bigint").parquet(f"{path}/finished").agg(F.max("upto")).first()[0]
+    except AnalysisException:
+        return -1
+
+
+def current_cells(spark: SparkSession, path: str, by: Sequence[str] = ("sample_id", "grp")) -> DataFrame:
+    """L2. (by, genome, count, embedding): G5 over everything read, from the newest snapshot and the deltas after it."""
+    upto = _snapshot(spark, path)
+    columns = [*by, "genome", "count", "embedding"]
+    rows = spark.read.parquet(f"{path}/deltas").filter(F.col("batch") > upto).select(*columns)
+    if upto >= 0:
+        rows = spark.read.parquet(f"{path}/snapshots/upto={upto}").select(*columns).unionByName(rows)
+    dim = rows.select(F.size("embedding").alias("d")).limit(1).collect()
+    dim = dim[0].d if dim else 0
+    return rows.groupBy(*by, "genome").agg(F.sum("count").alias("count"), vector_sums("embedding", dim).alias("embedding"))
+
+
+def current_tabular(spark: SparkSession, path: str, by: Sequence[str] = ("sample_id", "grp")) -> DataFrame:
+    """L2. (by, embedding): mean read embedding of every sample so far (G1)."""
+    cells = current_cells(spark, path, by)
+    dim = cells.select(F.size("embedding").alias("d")).limit(1).collect()
+    sums = cells.groupBy(*by).agg(F.sum("count").alias("count"), vector_sums("embedding", dim[0].d if dim else 0).alias("sums"))
+    return sums.select(*by, F.transform("sums", lambda x: x / F.col("count")).alias("embedding"))
+
+
+def compact_cells(spark: SparkSession, path: str, by: Sequence[str] = ("sample_id", "grp")) -> int:
+    """L2. A snapshot of all batches so far; it counts once its number is noted as finished. Returns its last batch."""
+    last = spark.read.parquet(f"{path}/deltas").agg(F.max("batch")).first()[0]
+    if last is None or last <= _snapshot(spark, path):
+        return -1 if last is None else last
+    current_cells(spark, path, by).write.mode("overwrite").parquet(f"{path}/snapshots/upto={last}")
+    spark.range(last, last + 1).select(F.col("id").alias("upto")).write.mode("append").parquet(f"{path}/finished")
+    return last
 
 
 def prediction_rate(

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandframe.operators import kmers as K
-from strandframe.operators.embed import kmer_idf, read_embedding
+from strandframe.operators.embed import kmer_idf, read_embedding, sentence_embedding
 from strandframe.operators.ranking import first_rows, mark_first, row_number_by, running_sum
 from strandframe.operators.tiling import tile
 from strandframe.operators.tokens import pad_tokens, tokenize
@@ -168,6 +168,16 @@ def test_embedding_table_and_join_agree_with_brute_force(spark):
                     assert all(np.allclose(r.embedding, want[r.read_id]) for r in got) and len(got) == len(texts)
 
 
+def test_sentences_by_table_and_join(spark):
+    table = spark.createDataFrame([("AC", [3.0, 4.0]), ("G", [0.0, 2.0]), ("<unk>", [1.0, 0.0])], "kmer string, vector array<double>")
+    texts = ["AC G AC", "AC", "", "no such", None, "G <unk>  G", "T"]
+    want = [[0.4, 2.6 / 3], [0.6, 0.8], [0, 0], [0, 0], [0, 0], [1 / 3, 2 / 3], [0, 0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "read_id int, sentence string")
+    for limit in (1 << 20, 0):
+        got = {r.read_id: r.embedding for r in sentence_embedding(df, table, max_bytes=limit).collect()}
+        assert len(got) == 7 and all(np.allclose(got[i], w) for i, w in enumerate(want))
+
+
 def test_idf(spark):
     vocab = counts(spark, [("AAC", 0), ("CCA", 0)])
     got = {r.kmer: r.idf for r in kmer_idf(vocab, counts(spark, [("AAC", 2), ("ACG", 6)])).collect()}

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions.seq import pair_suffix
-from .files import SPLIT_BYTES, Range, lines_from, ranges
+from .files import BLOCK_BYTES, SPLIT_BYTES, Lines, Range, line_blocks, ranges
 
 PATTERNS = "*.fq,*.fastq,*.fq.gz,*.fastq.gz"
-BATCH = 8192
 
 
 class FastqSource(DataSource):
@@ -47,55 +46,46 @@ class FastqReader(DataSourceReader):
         return ranges(self.path, self.patterns, self.split_bytes)
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        ids, seqs, quals = [], [], []
-        for rid, seq, qual in records(part):
-            ids.append(rid)
-            seqs.append(seq)
-            quals.append(qual)
-            if len(ids) == BATCH:
-                yield self.batch(part.path, ids, seqs, quals)
-                ids, seqs, quals = [], [], []
-        if ids:
-            yield self.batch(part.path, ids, seqs, quals)
-
-    def batch(self, path: str, ids: list, seqs: list, quals: list) -> pa.RecordBatch:
-        text = lambda values: pa.array(values, pa.binary()).cast(pa.string())
-        cols = {"read_id": text(ids), "read": text(seqs)}
-        if self.quality:
-            cols["qual"] = text(quals)
-        cols["path"] = pa.array([path] * len(ids), pa.string())
-        return pa.RecordBatch.from_pydict(cols)
-
-
-def records(part: Range) -> Iterator[tuple[bytes, bytes, bytes | None]]:
-    """Records that start inside the range.
+        for lines, first, number, whole in records(part):
+            at = first + 4 * np.arange(number)
+            cols = {"read_id": lines.text(at), "read": lines.text(at + 1)}
+            if self.quality:
+                # a cut last record has no quality
+                qual = lines.text(at[: number - (not whole)] + 3)
+                cols["qual"] = qual if whole else pa.concat_arrays([qual, pa.nulls(1, pa.string())])
+            cols["path"] = pa.repeat(part.path, number)
+            yield pa.RecordBatch.from_pydict(cols)
+
+
+def records(part: Range, size: int = BLOCK_BYTES) -> Iterator[tuple[Lines, int, int, bool]]:
+    """(lines, first, number, whole): runs of records of four lines that start inside the range.
 
     In a later range the first record is the first line with ``@`` whose second
     next line starts with ``+``: a quality line may start with ``@``, but two
-    lines further lies a sequence then, which never starts with ``+``.
+    lines further lies a sequence then, which never starts with ``+``. A last record of two or
+    three lines counts, as it has its id and sequence; ``whole`` is false for a run that ends with it.
     """
-    lines = lines_from(part)
-    held: deque = deque()
-    if part.start > 0:
-        for item in lines:
-            held.append(item)
-            if len(held) == 3:
-                if held[0][1][:1] == b"@" and held[2][1][:1] == b"+":
-                    break
-                held.popleft()
-        else:
-            return
-    while True:
-        while len(held) < 4:
-            item = next(lines, None)
-            if item is None:
-                break
-            held.append(item)
-        # a cut last record still has its id and sequence
-        if len(held) < 2 or (part.end is not None and held[0][0] >= part.end):
+    synced = part.start == 0
+    for lines, keep, last in line_blocks(part, size):
+        first = 0
+        if not synced:
+            heads = np.flatnonzero((lines.first[:-2] == ord("@")) & (lines.first[2:] == ord("+")))
+            if not len(heads):
+                # a head may stand in the last two lines
+                keep(min(2, len(lines)))
+                continue
+            first, synced = int(heads[0]), True
+        rest = (len(lines) - first) % 4
+        number, whole = (len(lines) - first) // 4, True
+        if last and rest >= 2:
+            number, whole = number + 1, False
+        starts = lines.offsets[first : first + 4 * number : 4]
+        inside = number if part.end is None else int(np.searchsorted(starts, part.end))
+        if inside:
+            yield lines, first, inside, whole or inside < number
+        if inside < number:
             return
-        chunk = [held.popleft()[1] for _ in range(min(4, len(held)))]
-        yield chunk[0], chunk[1], chunk[3] if len(chunk) == 4 else None
+        keep(rest)
 
 
 def read_fastq(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import InputPartition
 
@@ -55,27 +58,76 @@ def _uri(given: str, root: str, found: str) -> str:
     return given.rstrip("/") + found[len(root.rstrip("/")) :]
 
 
-def lines_from(part: Range) -> Iterator[tuple[int, bytes]]:
-    """(offset, line without line end) from the first line starting at or after ``start``."""
+BLOCK_BYTES = 4 << 20
+
+
+def blocks(part: Range, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """Raw bytes from the range's start on, or the text of a compressed file; they don't stop at the range's end."""
     system, name = resolve(part.path)
     if part.end is None:
         with system.open_input_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-            for line in stream:
-                yield 0, line.rstrip(b"\r\n")
+            while block := stream.read(size):
+                yield block
         return
     with system.open_input_file(name) as raw:
-        pos = max(part.start - 1, 0)
-        raw.seek(pos)
-        tail, first = b"", part.start > 0
-        while block := raw.read(1 << 20):
-            block = tail + block
-            pieces = block.split(b"\n")
-            tail = pieces.pop()
-            for p in pieces:
-                if first:
-                    first = False
-                else:
-                    yield pos, p.rstrip(b"\r")
-                pos += len(p) + 1
-        if tail and not first:
-            yield pos, tail.rstrip(b"\r")
+        # one byte earlier: a line that starts right at the range belongs to it
+        raw.seek(max(part.start - 1, 0))
+        while block := raw.read(size):
+            yield block
+
+
+class Lines:
+    """Whole lines of a block: places of their starts, and their text as an Arrow array without line ends."""
+
+    def __init__(self, data: bytes, offset: int):
+        buffer = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(buffer == 10) + 1
+        self.bounds = np.concatenate(([0], ends))
+        self.offsets = offset + self.bounds[:-1]
+        self.first = buffer[self.bounds[:-1]]
+        self.data = data
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def text(self, at: np.ndarray) -> pa.Array:
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.bounds.astype(np.int64)), pa.py_buffer(self.data)])
+        return pc.ascii_rtrim(whole.take(pa.array(at)).cast(pa.string()), "\r\n")
+
+
+def line_blocks(part: Range, size: int = BLOCK_BYTES) -> Iterator[tuple[Lines, Callable[[int], None], bool]]:
+    """Lines from the first one that starts at or after the range's start on, block by block.
+
+    Yields (lines, keep, last). ``keep(n)`` hands the last ``n`` lines to the next block; ``last`` is
+    true once, at the end of the file, for what was kept and a line without an end.
+    """
+    position = max(part.start - 1, 0)
+    held, cut = b"", part.start > 0
+    kept = [0]
+
+    def keep(n: int) -> None:
+        kept[0] = n
+
+    for block in blocks(part, size):
+        data = held + block
+        if cut:
+            at = data.find(b"\n") + 1
+            if not at:
+                # still inside the line before the range
+                position += len(data)
+                held = b""
+                continue
+            position, data, cut = position + at, data[at:], False
+        stop = data.rfind(b"\n") + 1
+        if stop:
+            lines = Lines(data[:stop], position)
+            kept[0] = 0
+            yield lines, keep, False
+            start = int(lines.bounds[len(lines) - kept[0]])
+            position, held = position + start, data[start:]
+        else:
+            held = data
+    if not cut:
+        if held and not held.endswith(b"\n"):
+            held += b"\n"
+        yield Lines(held, position), keep, True

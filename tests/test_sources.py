@@ -3,10 +3,13 @@
 import gzip
 import random
 
+import numpy as np
 
+from strandframe.sources import fasta, fastq
 from strandframe.sources import tables as T
 from strandframe.sources.fasta import read_fasta, sequence_text
 from strandframe.sources.fastq import read_fastq
+from strandframe.sources.files import Range
 
 
 def records(n, seed=0):
@@ -97,3 +100,40 @@ def test_embeddings_drop_and_renumber(spark, tmp_path):
     got = T.load_embeddings(spark, str(tmp_path / "v"), ["</s>"]).orderBy("id").collect()
     assert [(r.kmer, r.id, r.vector) for r in got] == [("AAA", 0, [2.0]), ("CCC", 1, [3.0])]
     assert T.vocab_lines(spark.createDataFrame([("AC", 3)], "kmer string, count bigint")).first()[0] == "AC 3"
+
+
+def test_a_long_record_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(9)
+    seq = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    # lines before any header, a record over ten ranges and more, an empty one, one of a single line
+    parts = [(None, [seq(20)] * 7), ("long", [seq(17) for _ in range(400)]), ("empty", []), ("b", [seq(3)]), ("", [seq(5)] * 2), ("c", [seq(30)] * 40)]
+    text = "".join((f">{r} of\tsome kind\r\n" if r is not None else "") + "".join(x + "\n" for x in lines) for r, lines in parts)
+    (tmp_path / "g.fasta").write_text(text.rstrip("\n"))
+    (tmp_path / "h.fna").write_text(">only\nAC\n\nGT\n")
+    want = [("g.fasta", r, i, x) for r, lines in parts for i, x in enumerate(lines)] + [("h.fna", "only", 0, "AC"), ("h.fna", "only", 1, "GT")]
+    for size in (64, 701, 1 << 20):
+        got = read_fasta(spark, str(tmp_path), split_bytes=size)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    raw = spark.read.format("fasta").options(splitBytes=701, glob="*.fasta").load(str(tmp_path))
+    assert raw.filter("start > 0 AND record_id IS NULL").select("start").distinct().count() >= 10
+
+
+def test_blocks_of_any_size_give_the_same_records(tmp_path):
+    rows = records(120, 3)
+    path = tmp_path / "x.fastq"
+    path.write_text(text(rows, "\r\n") + "@cut\nAC\n+")
+    want = [r[0] for r in rows] + ["@cut"]
+    for split in (50, 777, 1 << 20):
+        size = path.stat().st_size
+        for block in (3, 64, 1 << 20):
+            got = []
+            for start in range(0, size, split):
+                for lines, first, number, whole in fastq.records(Range(str(path), start, min(start + split, size)), block):
+                    got += lines.text(first + 4 * np.arange(number)).to_pylist()
+            assert got == want
+    state = fasta.State()
+    (tmp_path / "f.fna").write_text(">a\nAC\nGT\n>b x\n\nT")
+    got = []
+    for part in fasta.sequence_lines(Range(str(tmp_path / "f.fna"), 0, 1000), state, 2):
+        got += zip(*(x.to_pylist() for x in part))
+    assert got == [("a", 0, "AC"), ("a", 1, "GT"), ("b", 0, "T")] and (state.record, state.number) == ("b", 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import acgt_length, clean_anonymous_id, seeded_order
-from .ranking import mark_first, md5_bucket, row_number_by, take_first
+from .ranking import mark_first, md5_bucket, number_rows, row_number_by, take_first
 
 SEED = 42
 
@@ -127,12 +127,12 @@ def stratified_split(
     return marked.select(*reads.columns, F.when(F.col("__valid"), "valid").otherwise("train").alias("part"))
 
 
-def training_corpus(reads: DataFrame, taxonomy: DataFrame, order: Sequence[str], bucket: Sequence[Column]) -> DataFrame:
+def training_corpus(reads: DataFrame, taxonomy: DataFrame, order: Sequence[str]) -> DataFrame:
     """A12. (id, fasta, tax_id, species, genus, family): numbered FASTA text with aligned labels.
 
-    Ids count from 1 in the given order; the ``bucket`` Columns grow with that order.
+    Ids count from 1 in the given order.
     """
-    numbered = row_number_by(reads, [], bucket, [F.col(c) for c in order], "id")
+    numbered = number_rows(reads, [], [F.col(c) for c in order], "id")
     ranks = taxonomy.select(F.col("tax_id").alias("__t"), "species", "genus", "family")
     text = F.concat(F.lit(">"), F.col("id"), F.lit("\n"), F.col("read"))
     return numbered.join(ranks, F.col("tax_id") == F.col("__t")).select(
@@ -180,14 +180,14 @@ def read2genome_dataset(
     return out.select("part", F.col("__raw").alias("anonymous_read_id"), "read", "tax_id", "sim_id", "proportion_genome_by_sim")
 
 
-def genome_metadata(fasta: DataFrame, tax_ids: DataFrame, prefix: int = 10) -> DataFrame:
+def genome_metadata(fasta: DataFrame, tax_ids: DataFrame) -> DataFrame:
     """I7. Per genome file: id, OTU, novelty, taxonomy id and A/C/G/T length.
 
     ``fasta`` holds (fasta, sequence) lines, ``tax_ids`` (fasta, NCBI_ID).
     Files are numbered from 0 by name.
     """
     lengths = fasta.groupBy("fasta").agg(F.sum(acgt_length("sequence")).cast("bigint").alias("bp_length"))
-    numbered = row_number_by(lengths, [], [F.substr("fasta", F.lit(1), F.lit(prefix))], [F.col("fasta")], "__n")
+    numbered = number_rows(lengths, [], [F.col("fasta")], "__n")
     otu = F.col("__n") - 1
     return numbered.join(tax_ids, "fasta").select(
         "fasta",

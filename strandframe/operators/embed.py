@@ -14,7 +14,7 @@ from ..functions.vectors import VectorTable, embedder, l2_normalize, vector_sums
 from ..session import fits
 from .filters import wide_embedding
 from .kmers import filter_acgt
-from .ranking import row_number_by
+from .ranking import number_rows
 from .tokens import kmer_positions
 
 SEED = 42
@@ -48,7 +48,7 @@ def kmer2vec_train(
     from pyspark.ml.functions import vector_to_array
 
     vectors = model.getVectors().select(F.col("word").alias("kmer"), vector_to_array("vector").alias("vector"))
-    numbered = row_number_by(vectors, [], [F.substr("kmer", F.lit(1), F.lit(6))], [F.col("kmer")], "__n")
+    numbered = number_rows(vectors, [], [F.col("kmer")], "__n")
     return numbered.select("kmer", (F.col("__n") - 1).cast("int").alias("id"), "vector")
 
 

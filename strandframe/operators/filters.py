@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_rows
+from .ranking import number_rows
 
 CONTROL = "Control"
 
@@ -67,4 +67,5 @@ def limit_reads(reads: DataFrame, n: int, sample: str = "sample_id", read_id: st
     """B11. At most n reads per sample, the first by read id; all when n <= 0."""
     if n <= 0:
         return reads
-    return first_rows(reads, [sample], [F.col(read_id)], n, F.col(read_id))
+    numbered = number_rows(reads, [sample], [F.col(read_id), F.xxhash64(*reads.columns)], "__n")
+    return numbered.filter(F.col("__n") <= n).drop("__n")

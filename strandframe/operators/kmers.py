@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import AMBIGUOUS, canonical, gc_rate, kmer_starts
-from .ranking import row_number_by
+from .ranking import number_rows
 
 # Special tokens in the order of their ids 0..4.
 SPECIALS = ["<unk>", "<pad>", "<sos>", "<eos>", "<msk>"]
@@ -69,23 +69,14 @@ def merge_all_samples(counts: DataFrame, last_sample: int | None = None, sample:
     """
     if last_sample is not None:
         names = counts.select(sample).distinct()
-        numbered = names.withColumn("__n", F.row_number().over(Window.orderBy(sample)) - 1)
-        counts = counts.join(numbered.filter(F.col("__n") <= last_sample), sample, "left_semi")
+        numbered = number_rows(names, [], [F.col(sample)], "__n")
+        counts = counts.join(numbered.filter(F.col("__n") <= last_sample + 1), sample, "left_semi")
     return add_index(counts.groupBy("kmer").agg(F.sum("count").alias("count")))
 
 
-def add_index(counts: DataFrame, offset: int = 0, prefix: int = 6) -> DataFrame:
-    """D4. ``id`` = rank by falling count (then k-mer) from 1, without a one-task sort.
-
-    Buckets are the count and, inside one count, the first letters of the k-mer.
-    """
-    ranked = row_number_by(
-        counts,
-        [],
-        [-F.col("count"), F.substr("kmer", F.lit(1), F.lit(prefix))],
-        [F.col("kmer")],
-        "id",
-    )
+def add_index(counts: DataFrame, offset: int = 0) -> DataFrame:
+    """D4. ``id`` = rank by falling count (then k-mer) from 1, without a one-task sort."""
+    ranked = number_rows(counts, [], [-F.col("count"), F.col("kmer")], "id")
     return ranked.withColumn("id", F.col("id") + offset) if offset else ranked
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import seeded_order
 from .filters import binary_label, drop_incomplete, feature_columns
-from .ranking import mark_first, md5_bucket, row_number_by
+from .ranking import mark_first, md5_bucket, number_rows, row_number_by
 
 SUBJECT = "id_subject"
 
@@ -104,8 +104,8 @@ def genome_dummies(x: DataFrame) -> DataFrame:
     cols = {c: q(c) / F.col("count") for c in feature_columns(x)}
     cols["count"] = F.col("count") / total
     genomes = x.select("genome").distinct()
-    places = genomes.withColumn("dummy", F.row_number().over(Window.orderBy("genome")).cast("bigint") - 1)
-    places = places.withColumn("dummies", F.count("*").over(Window.partitionBy()))
+    places = number_rows(genomes, [], [F.col("genome")], "dummy")
+    places = places.select("genome", (F.col("dummy") - 1).alias("dummy"), genomes.agg(F.count("*")).scalar().alias("dummies"))
     return x.withColumns(cols).join(places, "genome")
 
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def running_sum(
     df: DataFrame,
@@ -60,6 +62,26 @@ def row_number_by(
     return running_sum(df, group, bucket, order, F.lit(1).cast("bigint"), name)
 
 
+def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Adds ``name``: 1-based row number per group (the whole frame when ``group`` is empty), whatever the order is made of.
+
+    Rows are spread by ranges of (group, order), sorted inside each and written once. A row's number
+    is its place in its range, less the group's first place there, and the group's rows in earlier ranges;
+    so tasks see a range of rows, not a group. ``order`` must tell rows apart, else equal ones share a range.
+    """
+    keys = [f"__no_{i}" for i in range(len(group) + len(order))]
+    rows = df.withColumns(dict(zip(keys, [*map(F.col, group), *order])))
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__no_id", F.monotonically_increasing_id())
+    # the id holds the range in its upper bits and the place in the lower 33
+    rows = materialize(rows.drop(*keys)).withColumn("__no_part", F.shiftright("__no_id", 33))
+    cells = rows.groupBy("__no_part", *group).agg(F.min("__no_id").alias("__no_first"), F.count("*").alias("__no_n"))
+    # one row per range, or per group and range that it lies in
+    earlier = Window.partitionBy(*group or [F.lit(0)]).orderBy("__no_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("__no_part", *group, "__no_first", F.coalesce(F.sum("__no_n").over(earlier), F.lit(0)).alias("__no_before"))
+    number = F.col("__no_before") + F.col("__no_id") - F.col("__no_first") + 1
+    return _join_null_safe(rows, cells, ["__no_part", *group]).select(*df.columns, number.alias(name))
+
+
 def first_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, salt: Column, parts: int = 64
 ) -> DataFrame:

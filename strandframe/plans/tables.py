@@ -244,7 +244,7 @@ CORPUS = """SELECT row_number() OVER (ORDER BY sample_id, read_id) AS id, read,
 
 def corpus(fx):
     reads = fx.reads.select("sample_id", "read_id", "read", "tax_id")
-    return D.training_corpus(reads, fx.genome, ["sample_id", "read_id"], [F.col("sample_id"), F.substr("read_id", F.lit(1), F.lit(4))])
+    return D.training_corpus(reads, fx.genome, ["sample_id", "read_id"])
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from strandframe.operators import kmers as K
 from strandframe.operators.embed import kmer_idf, read_embedding, sentence_embedding
+from strandframe.operators.filters import limit_reads
+from strandframe.operators.ranking import number_rows
 from strandframe.operators.ranking import first_rows, mark_first, row_number_by, running_sum
 from strandframe.operators.tiling import tile
 from strandframe.operators.tokens import pad_tokens, tokenize
@@ -182,3 +184,19 @@ def test_idf(spark):
     vocab = counts(spark, [("AAC", 0), ("CCA", 0)])
     got = {r.kmer: r.idf for r in kmer_idf(vocab, counts(spark, [("AAC", 2), ("ACG", 6)])).collect()}
     assert abs(got["AAC"] - np.log(4)) < 1e-12 and got["CCA"] == 1.0
+
+
+def test_numbers_of_rows_across_ranges(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice("abc") * rng.randrange(0, 3), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "grp string, word string, key int").repartition(7)
+    got = number_rows(df, ["grp"], [F.col("word"), F.col("key")], "n").collect()
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
+        assert [(r.grp, r.word, r.key) for r in sorted((r for r in got if r.grp == g), key=lambda r: r.n)] == own
+        assert sorted(r.n for r in got if r.grp == g) == list(range(1, len(own) + 1))
+    whole = number_rows(df, [], [-F.col("key")], "n").collect()
+    assert [r.key for r in sorted(whole, key=lambda r: r.n)] == list(range(399, -1, -1)) and {r.n for r in whole} == set(range(1, 401))
+    assert number_rows(df.limit(0), [], [F.col("key")], "n").count() == 0
+    limited = limit_reads(df.withColumnsRenamed({"grp": "sample_id", "key": "read_id"}), 2)
+    assert sorted((r.read_id for r in limited.collect() if r.sample_id == "hot")) == [r[2] for r in sorted((r for r in rows if r[0] == "hot"), key=lambda r: r[2])][:2]

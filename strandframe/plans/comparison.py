@@ -206,15 +206,19 @@ def _(fx):
     return _nine(C.ilr(replaced(fx), "sample_id"))
 
 
+#: Draws of the random search in the registered queries, each over the three inner splits; a fit is some hundred small jobs.
+SEARCHED = 3
+
+
 @query("k9_benchmark_classifiers")
 def _(fx):
-    return MO.benchmark_classifiers(normal_rows(fx), splits(fx), FEATURES)
+    return MO.benchmark_classifiers(normal_rows(fx), splits(fx), FEATURES, n_iter=SEARCHED)
 
 
 @query("k10_benchmark_on_embedding")
 def _(fx):
     x = H.abundance_features(complete_rows(fx), subject_embeddings(fx), "yes")
-    return MO.benchmark_on_embedding(x, splits(fx).select("split", "id_subject", "part"))
+    return MO.benchmark_on_embedding(x, splits(fx).select("split", "id_subject", "part"), n_iter=SEARCHED)
 
 
 @query(

@@ -251,28 +251,46 @@ def exchange(pairs: DataFrame, head: list[str], setting: Setting) -> tuple[np.nd
     return kind, matrix
 
 
-def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
+@dataclass(frozen=True)
+class Model:
+    """What scores a text: class of every unit, log10 of class after class, log10 of the sum of a class, and the counts of frequent words.
 
-    Words of all training texts are counted; the ``head`` most frequent ones, or more up to ``COVER``
-    of the tokens, get classes by exchange clustering over all their neighbours. The tail is not
-    clustered: its words get a class by their ending. A word's
-    probability is that of its class after the class before it (smoothed by class frequencies)
-    times that of the word in its class (add-``ADD``, with a share for unknown words). Texts begin
-    after an end and end with one.
+    A word's probability after a class is 10^(log_next[class, own] - log_class[own]) * (count + ADD).
+    """
 
-    Counts of the ``heavy`` most frequent words (of at most ``LONGEST`` bytes) go to the tasks, a
-    table of bounded size; the other words of a text are joined to their counts by a shuffle, with
-    the same result.
+    setting: Setting
+    words: list
+    freq: list
+    kind: np.ndarray
+    log_next: np.ndarray
+    log_class: np.ndarray
+    ends: int
+    total: int
+    types: int
 
-    Null and empty text is the end alone. A null doc_id is in training. Rows are told apart by
-    their place, so repeated rows give a row each. Without training text every probability is that
-    of an unknown word. Very long texts are scored whole, in one task.
+
+def probabilities(matrix: np.ndarray, n_types: np.ndarray, setting: Setting) -> tuple[np.ndarray, np.ndarray]:
+    """(log_next, log_class) from the counts of class after class and the numbers of words in the classes.
+
+    Every ending has a share for one unknown word; classes without any word get no probability. So
+    after each class the probabilities of all words, one unknown word per ending and the end sum to one.
     """
+    unknown = np.zeros(setting.kinds)
+    unknown[setting.classes : setting.kinds - 1] = 1
+    members = n_types + unknown
+    in_class = matrix.sum(0)
+    behind = np.where(members > 0, in_class + 1, 0.0)
+    behind /= behind.sum()
+    shares = (matrix + BEHIND * behind) / (matrix.sum(1, keepdims=True) + BEHIND)
+    empty = members == 0
+    log_next = np.log10(np.where(empty, 1.0, shares))
+    return np.where(empty, -np.inf, log_next), np.log10(np.where(empty, 1.0, in_class + ADD * members))
+
+
+def fit(docs: DataFrame, setting: Setting | None = None) -> tuple[Model, DataFrame]:
+    """The model of the training rows of ``docs`` (doc_id, text), and the counts (word, c) of all their words."""
     setting = setting or Setting()
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    sc = docs.sparkSession.sparkContext
     train = docs.where(is_training(F.col("doc_id")))
     counts = materialize(word_counts(train))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -281,12 +299,7 @@ def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     words, freq = frequent.column(0).to_pylist(), frequent.column(1).to_pylist()
     head = words[: setting.head]
     kind, matrix = exchange(materialize(transitions(train, sc.broadcast(head), setting)), head, setting)
-
-    k = setting.kinds
-    in_class = matrix.sum(0)
-    behind = (in_class + 1) / (in_class.sum() + k)
-    log_next = np.log10((matrix + BEHIND * behind) / (matrix.sum(1, keepdims=True) + BEHIND))
-    n_types = np.bincount(kind[: len(head)], minlength=k)
+    n_types = np.bincount(kind[: len(head)], minlength=setting.kinds)
     inside = sc.broadcast(head)
 
     def other_types(batches):
@@ -300,11 +313,35 @@ def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
 
     rest = counts.select("word").mapInArrow(other_types, "ending long, n long").groupBy("ending").agg(F.sum("n").alias("n")).toArrow()
     n_types[setting.classes + rest.column(0).to_numpy()] += rest.column(1).to_numpy()
-    n_types[k - 1] = 1
-    log_class = np.log10(in_class + ADD * (n_types + 1))
+    n_types[setting.kinds - 1] = 1
+    log_next, log_class = probabilities(matrix, n_types, setting)
     ends = int(counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    model = sc.broadcast((words, freq, kind, log_next, log_class, ends))
-    base_norm = math.log10(total + types + 1)
+    return Model(setting, words, freq, kind, log_next, log_class, ends, int(total), int(types)), counts
+
+
+def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
+
+    Words of all training texts are counted; the ``head`` most frequent ones, or more up to ``COVER``
+    of the tokens, get classes by exchange clustering over all their neighbours. The tail is not
+    clustered: its words get a class by their ending. A word's
+    probability is that of its class after the class before it (smoothed by class frequencies)
+    times that of the word in its class (add-``ADD``, with a share for unknown words). Texts begin
+    after an end and end with one.
+
+    Counts of the ``heavy`` most frequent words (of at most ``LONGEST`` bytes) go to the tasks, a
+    table of bounded size; the other words of a text are joined to their counts by a shuffle, with
+    the same result.
+
+    Null and empty text is the end alone. A null doc_id is in training. Rows are told apart by
+    their place, so repeated rows give a row each. Without training text every probability is that
+    of an unknown word. Very long texts are scored whole, in one task.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    fitted, counts = fit(docs, setting)
+    setting, total = fitted.setting, fitted.total
+    model = docs.sparkSession.sparkContext.broadcast((fitted.words, fitted.freq, fitted.kind, fitted.log_next, fitted.log_class, fitted.ends))
+    base_norm = math.log10(fitted.total + fitted.types + 1)
 
     schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: string, n: long>>"
 

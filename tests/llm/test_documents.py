@@ -93,20 +93,37 @@ def test_class_model(docs, empty):
     assert brown.score(empty, setting).count() == 0
 
 
-def test_class_probabilities_sum_to_one(spark):
-    # one word after the end: its probabilities over all known words and an unknown one of each ending
-    setting = brown.Setting(head=3, classes=2, endings=2, rounds=2, heavy=100)
+def test_class_probabilities_sum_to_one(docs):
+    setting = brown.Setting(head=30, classes=4, endings=3, rounds=3, heavy=10_000)
+    model, counts = brown.fit(docs.select("doc_id", "text"), setting)
+    count = {r.word: r.c for r in counts.collect()}
+    head, s = model.words[: model.setting.head], model.setting
+    own = lambda w: int(model.kind[head.index(w)]) if w in head else s.kinds - 1 if w == "" else s.classes + brown.ending(w, s.endings)
+    after = lambda k, w: 10 ** (model.log_next[k, own(w)] - model.log_class[own(w)]) * (count.get(w, 0) + brown.ADD)
     unknown = {}
-    for w in (f"u{i}" for i in range(50)):
-        unknown.setdefault(brown.ending(w, 2), w)
-    texts = ["a", "b", "c", "d", *unknown.values(), ""]
-    # ids of which crc32 mod 7 is 2 are not trained on
-    held = (i for i in range(1, 5000) if zlib.crc32(str(i).encode()) % 7 == 2)
-    train = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 7 != 2)
-    rows = [(train, "a b a c b a d"), *((next(held), t) for t in texts)]
-    got = {r.doc_id: r.score for r in brown.score(spark.createDataFrame(rows, "doc_id long, text string"), setting).collect()}
-    # texts of one word or none: their probabilities cannot exceed one together
-    assert 0.3 < sum(10 ** got[i] for i, _ in rows[1:]) <= 1.0 + 1e-9
+    for w in (f"u{i}" for i in range(200)):
+        if w not in count:
+            unknown.setdefault(brown.ending(w, s.endings), w)
+    assert len(unknown) == s.endings
+    for k in {own(w) for w in count} | {s.classes + e for e in range(s.endings)}:
+        # after any class: all known words and the end, and an unknown word of each ending
+        assert sum(after(k, w) for w in [*count, *unknown.values()]) == pytest.approx(1.0, abs=1e-9)
+    # scores are the sums of the same probabilities, text by text
+    for r in brown.score(docs, setting).collect():
+        if r.doc_id is not None:
+            found = ["", *cases.words(cases.lower(TEXT[r.doc_id])), ""]
+            assert r.score == pytest.approx(sum(math.log10(after(own(a), b)) for a, b in zip(found, found[1:])))
+
+
+def test_an_empty_class_takes_no_probability():
+    setting = brown.Setting(head=2, classes=3, endings=1)
+    matrix = np.array([[0, 2, 0, 1, 1], [3, 0, 0, 0, 0], [0, 0, 0, 0, 0], [1, 0, 0, 0, 0], [0, 1, 0, 0, 0]], float)
+    n_types = np.array([1, 1, 0, 1, 1])
+    log_next, log_class = brown.probabilities(matrix, n_types, setting)
+    sums = matrix.sum(0) + brown.ADD * (n_types + np.array([0, 0, 0, 1, 0]))
+    full = n_types > 0
+    assert (10 ** log_next[:, full] * sums[full] / 10 ** log_class[full]).sum(1) == pytest.approx(np.ones(5))
+    assert np.isneginf(log_next[:, 2]).all() and np.isfinite(log_class).all()
 
 
 def test_clustered_words_grow_with_the_corpus(spark):

@@ -7,11 +7,14 @@ sums over at most 101 buckets per label.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 REJECTED = -1
 THRESHOLDS = 100
 
@@ -241,18 +244,32 @@ def spearman_by_sim(proportions: DataFrame, sim: str = "sim_id", digits: int | N
 
 
 def read2genome_scores(
-    df: DataFrame, taxonomy: DataFrame, rank: str = "species", taken: Sequence | None = None, dataset: str = "dataset"
+    df: DataFrame,
+    taxonomy: DataFrame,
+    rank: str = "species",
+    taken: Sequence | None = None,
+    dataset: str = "dataset",
+    predict: Callable[[DataFrame], DataFrame] | None = None,
+    genomes: DataFrame | None = None,
+    read_id: str = "read_id",
 ) -> dict[str, DataFrame]:
-    """J14. The whole report for predictions with a ``dataset`` column (train, valid).
+    """J14. The whole report for reads with a ``dataset`` column (train, valid).
 
-    True and predicted ids are converted to ``rank``. Returns the tables
+    ``predict`` is the prediction step, a function reads -> (read_id, predict, prob) such as F2 or F3; without
+    it the reads bring their predictions. True and predicted ids are converted to ``rank``. Returns the tables
     ``metrics`` (J10 at 0 and at the best threshold), ``curves`` (J8), ``best``
-    (J9), ``proportion`` (J12) and ``correlation`` (J13), the last two on valid.
+    (J9), ``proportion`` (J12) and ``correlation`` (J13), the last two on valid; with ``genomes`` also
+    ``align``, the alignment rates (F5) of every data set at its best threshold.
     """
+    from .assign import align_rate
     from .datasets import filter_taxa, tax_convert
 
     if taken is not None:
         df = filter_taxa(df, taxonomy, rank, taken)
+    if predict is not None:
+        df = df.drop("predict", "prob")
+        # all tables of the report use the predictions: made once
+        df = materialize(df.join(predict(df).select(read_id, "predict", "prob"), read_id))
     df = tax_convert(df, taxonomy, rank, "tax_id", "true_rank")
     df = tax_convert(df, taxonomy, rank, "predict", "pred_rank")
     df = df.withColumn("pred_rank", F.coalesce("pred_rank", F.lit(REJECTED)))
@@ -267,10 +284,16 @@ def read2genome_scores(
     report = zero.unionByName(at_best).join(n, dataset)
     valid = df.filter(F.col(dataset) == "valid")
     proportion = proportion_true_vs_pred(valid, true="true_rank", pred="pred_rank").withColumnRenamed("true_rank", rank)
-    return {
+    out = {
         "metrics": report.select(dataset, "at", "nb_class", "threshold", "accuracy", "precision", "recall", "f1"),
         "curves": metrics.drop("step"),
         "best": best,
         "proportion": proportion,
         "correlation": spearman_by_sim(proportion),
     }
+    if genomes is not None:
+        # one row per data set
+        cuts = [(r[dataset], r.threshold) for r in best.collect()]
+        rates = [align_rate(df.filter(F.col(dataset) == name), genomes, t).select(F.lit(name).alias(dataset), F.lit(t).alias("threshold"), "*") for name, t in cuts]
+        out["align"] = reduce(DataFrame.unionByName, rates)
+    return out

@@ -14,6 +14,7 @@ from .embedding import DIMS, genome_vectors
 from .fixtures import add_view
 from .learning import FEATURES, complete_rows, normal_rows, subject_embeddings, subject_rows, splits
 from .registry import query
+from .sequences import needle_sql
 
 COS = "list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector)))"
 add_view(
@@ -33,9 +34,14 @@ def _(fx):
     return p.withColumn("cosine", F.round("cosine", 9) + 0.0)
 
 
-@query("k1_kmer_pair_needleman")
+@query(
+    "k1_kmer_pair_needleman",
+    f"""SELECT k.i, k.j, s.score AS distance, round(k.cosine, 9) AS cosine FROM kmer_pairs k JOIN kmer_vectors x ON x.id = k.i JOIN kmer_vectors y ON y.id = k.j
+    JOIN ({needle_sql('SELECT x.kmer AS a, y.kmer AS b FROM kmer_vectors x JOIN kmer_vectors y ON x.id < y.id')}) s ON s.a = x.kmer AND s.b = y.kmer""",
+)
 def _(fx):
-    return DI.kmer_pair_distance(_vectors(fx), "needleman")
+    p = DI.kmer_pair_distance(_vectors(fx), "needleman")
+    return p.withColumn("cosine", F.round("cosine", 9) + 0.0)
 
 
 @query(

@@ -8,6 +8,7 @@ from ..operators import cv as CV
 from ..operators import metrics as M
 from .fixtures import add_view
 from .registry import query
+from .sql import flip
 
 BIG = "bigint"
 T0 = 0.35
@@ -175,9 +176,9 @@ RANK_STEPS = label_sql(
 )
 
 
-def _report(fx):
+def _report(fx, **options):
     part = F.when(F.substr(F.md5("read_id"), F.lit(1), F.lit(1)) < "5", "valid").otherwise("train")
-    return M.read2genome_scores(_pred(fx).withColumn("dataset", part), fx.genome, "species")
+    return M.read2genome_scores(fx.reads.select("read_id", "read", "sim_id", "tax_id", "predict", "prob").withColumn("dataset", part), fx.genome, "species", **options)
 
 
 @query(
@@ -242,6 +243,54 @@ def _(fx):
     return _report(fx)["correlation"]
 
 
+DATASET = "CASE WHEN substr(md5(read_id), 1, 1) < '5' THEN 'valid' ELSE 'train' END"
+
+
+@query(
+    "j14_align",
+    f"""WITH best AS (SELECT dataset, step * CAST(0.01 AS DOUBLE) AS t FROM (SELECT *,
+      row_number() OVER (PARTITION BY dataset ORDER BY {BEST} DESC, step DESC) AS rn
+      FROM (SELECT dataset, step, {SCORES} FROM ({RANK_STEPS}) GROUP BY dataset, step)) WHERE rn = 1),
+    d AS (SELECT r.*, b.t FROM (SELECT *, {DATASET} AS dataset FROM reads) r JOIN best b ON r.dataset = b.dataset),
+    n AS (SELECT dataset, t, CAST(count(*) AS BIGINT) AS n_reads FROM d GROUP BY dataset, t),
+    pats AS (SELECT dataset, read, count(*) FILTER (prob > t AND predict <> -1) AS n_ok, count(*) FILTER (NOT (prob > t AND predict <> -1)) AS n_no FROM d GROUP BY dataset, read),
+    strands AS (SELECT dataset, read AS r, n_ok, n_no FROM pats UNION ALL SELECT dataset, reverse({flip('read')}), n_ok, n_no FROM pats),
+    seeds AS (SELECT *, unnest([0, 1, 2]) AS j FROM (SELECT row_number() OVER () AS id, * FROM strands)),
+    cut AS (SELECT *, substr(r, CAST(j * 20 + 1 AS INT), 20) AS seed FROM seeds),
+    places AS (SELECT tax_id, pos, substr(seq, pos, 20) AS seed, seq FROM (SELECT tax_id, seq, unnest(range(1, length(seq) - 18)) AS pos FROM genome)),
+    near AS (SELECT DISTINCT id, dataset, r, n_ok, n_no, tax_id, pos - j * 20 AS start, substr(seq, CAST(pos - j * 20 AS INT), 60) AS w
+      FROM cut JOIN places ON cut.seed = places.seed WHERE NOT regexp_matches(cut.seed, '[^ACGT]') AND pos - j * 20 >= 1 AND pos - j * 20 + 59 <= length(seq)),
+    hits AS (SELECT dataset, sum(n_ok) AS ok, sum(n_no) AS no FROM near WHERE hamming(translate(r, 'N', '.'), w) <= 2 GROUP BY dataset)
+    SELECT n.dataset, round(t, 2) AS threshold, n_reads, round(ok / n_reads, 9) AS accepted_rate, round(no / n_reads, 9) AS rejected_rate FROM n JOIN hits ON n.dataset = hits.dataset""",
+)
+def _(fx):
+    rates = _report(fx, genomes=fx.genome)["align"]
+    nine = lambda c: F.round(c, 9).alias(c)
+    return rates.select("dataset", F.round("threshold", 2).alias("threshold"), "n_reads", nine("accepted_rate"), nine("rejected_rate"))
+
+
+add_view(
+    "ranked_profile",
+    f"""SELECT {DATASET.replace('read_id', 'r.read_id')} AS dataset, r.sim_id, t.species AS true_id, p.species AS pred_id, x.prob
+    FROM reads r JOIN profile_predictions x ON x.read_id = r.read_id JOIN genome t ON r.tax_id = t.tax_id JOIN genome p ON x.predict = p.tax_id""",
+)
+
+
+@query(
+    "j14_predicted",
+    f"""WITH stats AS ({RANK_STEPS.replace('ranked_predictions', 'ranked_profile')}),
+    curves AS (SELECT dataset, step, CAST(count(*) FILTER (support > 0) AS BIGINT) AS nb_class, {SCORES} FROM stats GROUP BY dataset, step)
+    SELECT dataset, nb_class, {', '.join(f'round({c}, 9) AS {c}' for c in METRICS[:4])} FROM curves WHERE step = 0""",
+)
+def _(fx):
+    from ..operators import assign as A
+
+    profile = A.kmer_profile(fx.genome, 12)
+    step = lambda reads: A.read2genome_profile(reads, profile, 12).withColumn("prob", F.round("prob", 6))
+    m = _report(fx, predict=step)["metrics"].filter(F.col("at") == "zero")
+    return m.select("dataset", "nb_class", *[F.round(c, 9).alias(c) for c in METRICS[:4]])
+
+
 FOLDS = """SELECT sim_id AS model, tax_id % 3 AS fold, CASE WHEN read_id LIKE '%/1' THEN 'train' ELSE 'test' END AS side,
   CASE WHEN grp = 'Disease' THEN 1 ELSE 0 END AS y, CASE WHEN prob > 0.5 THEN 1 ELSE 0 END AS pred, prob FROM reads"""
 add_view("fold_rows", FOLDS)

@@ -196,7 +196,24 @@ def _mates(fx):
     )
 
 
-@query("c16_needleman_wunsch")
+# fixed values: match +1, mismatch -1, gap -1
+DIAGONAL = """list_transform(range(0, length(a) + 1), lambda i: CASE WHEN i = 0 OR i = d + 1 THEN -(d + 1) WHEN i > d OR d + 1 - i > length(b) THEN NULL
+      ELSE greatest(p2[i] + CASE WHEN a[i] = b[d + 1 - i] THEN 1 ELSE -1 END, greatest(p1[i], p1[i + 1]) - 1) END)"""
+
+
+def needle_sql(pairs: str) -> str:
+    """(a, b, score) of the distinct rows (a, b) of ``pairs``, by diagonals of the score matrix."""
+    return f"""SELECT a, b, CAST(p1[length(a) + 1] AS BIGINT) AS score FROM (
+      WITH RECURSIVE dp(a, b, d, p2, p1) AS (
+        SELECT a, b, 0, CAST([0] AS INT[]), CAST([0] AS INT[]) FROM (SELECT DISTINCT a, b FROM ({pairs}))
+        UNION ALL SELECT a, b, d + 1, p1, CAST({DIAGONAL} AS INT[]) FROM dp WHERE d < length(a) + length(b))
+      SELECT a, b, p1 FROM dp WHERE d = length(a) + length(b))"""
+
+
+MATES = f"SELECT concat(frag_id, '/1') AS read_id, substr(bases, 1, 60) AS a, reverse({flip('substr(bases, 61, 60)')}) AS b FROM fragment"
+
+
+@query("c16_needleman_wunsch", f"SELECT m.read_id, s.score FROM ({MATES}) m JOIN ({needle_sql(MATES)}) s ON m.a = s.a AND m.b = s.b")
 def _(fx):
     pairs = _mates(fx)
     distinct = pairs.select("a", "b").distinct().withColumn("score", needleman_wunsch("a", "b"))

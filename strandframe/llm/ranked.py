@@ -214,7 +214,9 @@ def statistics(segments: DataFrame, vocabulary: int) -> tuple[int, int, np.ndarr
         yield pa.RecordBatch.from_pydict({"term": pa.array([-2, -1, *at.tolist()], pa.int64()), "n": pa.array([documents, length, *df[at].tolist()], pa.int64())})
 
     sums = segments.select("sizes", "terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = dict(zip(*(sums.toArrow().column(i).to_pylist() for i in range(2))))
+    # collected once: rows of two runs may come in different orders
+    table = sums.toArrow()
+    found = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
     df = np.zeros(vocabulary, np.int64)
     for t, n in found.items():
         if t >= 0:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import UNK, fragments, kmer_to_int
 from ..functions.vectors import VectorTable, embedder, l2_normalize, vector_sums, word_embedder
-from ..session import fits
+from ..session import fits, materialize
 from .filters import wide_embedding
 from .kmers import filter_acgt
 from .ranking import number_rows
+from .skipgram import context_weights, numbered_words, seeded_vector, train_pairs
 from .tokens import kmer_positions
 
 SEED = 42
@@ -24,6 +25,33 @@ TABLE_MAX_BYTES = 256 << 20
 
 
 def kmer2vec_train(
+    sentences: DataFrame,
+    words: str = "words",
+    vector_size: int = 100,
+    window: int = 5,
+    iterations: int = 5,
+    step_size: float = 0.1,
+    num_partitions: int = 1,
+    min_count: int = 5,
+    negatives: int = 5,
+) -> DataFrame:
+    """E1. (kmer, id, vector) from skip-gram training on arrays of k-mers.
+
+    The vocabulary is trained in at least ``num_partitions`` blocks (``skipgram.train_pairs``), so neither
+    the driver nor a task holds it. Words below ``min_count`` take their place in a window but are not
+    trained. A word that is never near another has its starting vector. Null and empty sentences hold nothing.
+    """
+    vocabulary = materialize(numbered_words(sentences, min_count, words))
+    ids = vocabulary.select("kmer", "id")
+    pairs = context_weights(sentences, window, words)
+    pairs = pairs.join(ids.toDF("word", "w"), "word").join(ids.toDF("context", "c"), "context")
+    trained = train_pairs(pairs.select("w", "c", "weight"), vector_size, iterations, step_size, negatives, num_partitions)
+    rows = ids.join(trained.select("id", "vector"), "id", "left")
+    vector = F.coalesce("vector", seeded_vector("id", vector_size)).cast("array<double>")
+    return rows.select("kmer", "id", vector.alias("vector"))
+
+
+def word2vec_train(
     sentences: DataFrame,
     words: str = "words",
     vector_size: int = 100,
@@ -33,7 +61,7 @@ def kmer2vec_train(
     num_partitions: int = 1,
     min_count: int = 5,
 ) -> DataFrame:
-    """E1. (kmer, id, vector) from skip-gram training on arrays of k-mers."""
+    """E1 by Spark's Word2Vec (hierarchical softmax): the driver and every task hold the whole vocabulary."""
     model = Word2Vec(
         inputCol=words,
         outputCol="__v",
@@ -49,7 +77,7 @@ def kmer2vec_train(
 
     vectors = model.getVectors().select(F.col("word").alias("kmer"), vector_to_array("vector").alias("vector"))
     numbered = number_rows(vectors, [], [F.col("kmer")], "__n")
-    return numbered.select("kmer", (F.col("__n") - 1).cast("int").alias("id"), "vector")
+    return numbered.select("kmer", (F.col("__n") - 1).alias("id"), "vector")
 
 
 def kmer_idf(vocab: DataFrame, words: DataFrame) -> DataFrame:

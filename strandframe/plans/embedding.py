@@ -8,9 +8,10 @@ from ..functions import seq as S
 from ..functions.vectors import l2_normalize, norm
 from ..operators import embed as E
 from ..operators import kmers as K
+from ..operators.skipgram import context_weights
 from .fixtures import add_view
 from .registry import query
-from .sql import canon, code
+from .sql import canon, code, kmer_list
 
 BIG = "bigint"
 DIM = 64
@@ -60,6 +61,28 @@ def _(fx):
     return v.select("kmer", "id", F.size("vector").alias("dim"))
 
 
+@query("e1_word2vec_train")
+def _(fx):
+    sentences = fx.reads.select(S.kmers("read", 4, remove_unk=True).alias("words"))
+    v = E.word2vec_train(sentences, vector_size=16, window=3, iterations=1, num_partitions=4)
+    return v.select("kmer", "id", F.size("vector").alias("dim"))
+
+
+WORDS_SQL = f"SELECT read_id, list_filter({kmer_list('read', 4)}, lambda x: NOT regexp_matches(x, '[^ACGT]')) AS words FROM reads"
+
+
+@query(
+    "e1_context_weights",
+    f"""WITH s AS ({WORDS_SQL}), p AS (SELECT words, unnest(range(1, len(words) + 1)) AS i FROM s),
+      near AS (SELECT words[i] AS word, words[i + d] AS context, CAST(4 - d AS BIGINT) AS weight, i + d <= len(words) AS inside
+        FROM p, range(1, 4) AS r(d)),
+      both_ways AS (SELECT word, context, weight FROM near WHERE inside UNION ALL SELECT context, word, weight FROM near WHERE inside)
+    SELECT word, context, CAST(sum(weight) AS BIGINT) AS weight FROM both_ways GROUP BY word, context""",
+)
+def _(fx):
+    return context_weights(fx.reads.select(S.kmers("read", 4, remove_unk=True).alias("words")), 3)
+
+
 @query("e2_read_embedding", f"SELECT read_id, {checks_sql(6)} FROM read_vectors")
 def _(fx):
     return checks(E.read_embedding(fx.reads, fx.kmer_vectors, 5), ["read_id"])

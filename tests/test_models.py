@@ -1,10 +1,13 @@
 """Projection, reconstruction and the classifier benchmark against closed forms and easy cases."""
 
+import math
+
 import numpy as np
 import pytest
 
 from strandframe.operators import embed as E
 from strandframe.operators import models as MO
+from strandframe.operators import skipgram as G
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +39,53 @@ def test_word_vectors_of_words_in_one_context_are_closer(spark):
     rng = np.random.default_rng(1)
     pick = lambda words: [str(rng.choice(words)) for _ in range(12)]
     rows = [(pick(["AAA", "AAC", "AAG"]) if i % 2 else pick(["CCA", "CCC", "CCG"]),) for i in range(300)]
-    got = {r.kmer: np.array(r.vector) for r in E.kmer2vec_train(spark.createDataFrame(rows, "words array<string>"), vector_size=16, iterations=3).collect()}
-    cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
-    assert set(got) == {"AAA", "AAC", "AAG", "CCA", "CCC", "CCG"}
-    assert min(cos("AAA", "AAC"), cos("CCA", "CCG")) > max(cos("AAA", "CCC"), cos("AAG", "CCA"))
+    sentences = spark.createDataFrame(rows, "words array<string>")
+    for train in (E.kmer2vec_train, E.word2vec_train):
+        got = {r.kmer: np.array(r.vector) for r in train(sentences, vector_size=16, iterations=3).collect()}
+        cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+        assert set(got) == {"AAA", "AAC", "AAG", "CCA", "CCC", "CCG"}
+        assert min(cos("AAA", "AAC"), cos("CCA", "CCG")) > max(cos("AAA", "CCC"), cos("AAG", "CCA"))
+
+
+def plain_pairs(sentences, window):
+    out = {}
+    for s in sentences:
+        for i, a in enumerate(s or ()):
+            for j, b in enumerate(s):
+                if i != j and abs(i - j) <= window and a is not None and b is not None:
+                    out[a, b] = out.get((a, b), 0) + window + 1 - abs(i - j)
+    return out
+
+
+def test_context_weights_equal_the_plain_count(spark):
+    sentences = [["A", "B", "A", "C"], ["B", None, "B"], [], None, ["C"], ["A", "A", "A", "A", "A", "B"]]
+    df = spark.createDataFrame([(s,) for s in sentences], "words array<string>")
+    got = {(r.word, r.context): r.weight for r in G.context_weights(df, 3).collect()}
+    assert got == plain_pairs(sentences, 3)
+
+
+def test_skipgram_meets_its_closed_form_in_any_number_of_blocks(spark):
+    n = {(0, 0): 30, (0, 1): 10, (1, 0): 10, (1, 1): 30}
+    df = spark.createDataFrame([(w, c, x) for (w, c), x in n.items()], "w long, c long, weight long")
+    want = [math.log(x * 80 / (40 * 40)) for x in n.values()]
+    for blocks, iterations, steps in ((1, 2, 600), (2, 12, 8)):
+        train = lambda rows: {
+            r.id: (np.array(r.vector), np.array(r.out_vector))
+            for r in G.train_pairs(rows, 4, iterations, 0.3, 1, blocks, steps, 1.0).collect()
+        }
+        got = train(df)
+        assert [got[w][0] @ got[c][1] for w, c in n] == pytest.approx(want, abs=0.1)
+        if blocks == 2:
+            again = train(df.orderBy("weight", "c").repartition(3))
+            assert all((got[i][0] == again[i][0]).all() and (got[i][1] == again[i][1]).all() for i in got)
+
+
+def test_word_vectors_of_empty_and_lonely_words(spark):
+    sentences = [(None,), ([],), (["AAA"],), (["CCC"],), (["AAA"],)]
+    df = spark.createDataFrame(sentences, "words array<string>")
+    got = E.kmer2vec_train(df, vector_size=3, iterations=1, min_count=1).orderBy("id").collect()
+    assert [(r.kmer, r.id, len(r.vector)) for r in got] == [("AAA", 0, 3), ("CCC", 1, 3)]
+    assert E.kmer2vec_train(df.limit(0), vector_size=3, iterations=1).count() == 0
 
 
 def test_classifiers_separate_what_is_separable(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from .common import RangeHash
 
 MATCH = 100
 GRAM = 32
+#: Texts come in at least this many batches, and in as many more as keep a batch below ``BATCH_BYTES``.
 BATCHES = 4
+BATCH_BYTES = 1 << 40
 FLUSH = 1 << 20
 #: Windows that are compared together, after those of an anchor; the last is 1.
 STEPS = (8, 1)
@@ -93,52 +96,47 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     return spark.table(name)
 
 
-def batch_array(texts: DataFrame, match: int, gram: int) -> DataFrame:
-    """The sparse suffix array of a batch: (h, docs), sorted by h, the fingerprint that suffixes begin with.
+def anchor_rows(texts: DataFrame, match: int, gram: int) -> DataFrame:
+    """(id, h, first, again) of a batch's anchors, sorted by h in each task; texts are scanned once.
 
-    Order by fingerprint serves as well as order by letters, as only equal beginnings matter. A task
-    gives one document per fingerprint (``repeated_here`` reports the others), so ``docs`` has at most
-    one entry per task.
+    ``first`` marks one row per fingerprint and task, ``again`` every row whose fingerprint occurs
+    twice or more in the task, in one document or in several. Rows are distinct.
     """
 
     def run(batches):
         find = Anchors(match, gram).find
-        keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), unpacked(batch.column(1))):
-                key = np.unique(find(data)[1])
-                keys.append(key)
-                docs.append(np.full(len(key), doc))
-        h, at = np.unique(np.concatenate(keys), return_index=True)
-        found = np.concatenate(docs)[at]
-        for i in range(0, len(h), FLUSH):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + FLUSH]), pa.array(found[i : i + FLUSH])], ["h", "doc"])
-
-    rows = texts.select("id", "z").mapInArrow(run, "h long, doc long")
-    return rows.groupBy("h").agg(F.collect_list("doc").alias("docs"))
-
-
-def repeated_here(texts: DataFrame, match: int, gram: int) -> DataFrame:
-    """(id, h): anchors that occur twice or more within a task's texts."""
-
-    def run(batches):
-        find = Anchors(match, gram).find
-        keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, docs, twice = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), unpacked(batch.column(1))):
-                key = find(data)[1]
+                key, n = np.unique(find(data)[1], return_counts=True)
                 keys.append(key)
                 docs.append(np.full(len(key), doc))
-        key, doc = np.concatenate(keys), np.concatenate(docs)
+                twice.append(n > 1)
+        key, doc, again = np.concatenate(keys), np.concatenate(docs), np.concatenate(twice)
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        key, doc, again = key[order], doc[order], again[order]
         same = key[1:] == key[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(key) else np.zeros(0, bool)
-        key, doc = key[many], doc[many]
+        first = np.ones(len(key), bool)
+        first[1:] = ~same
+        again[1:] |= same
+        again[:-1] |= same
+        use = first | again
+        key, doc, first, again = key[use], doc[use], first[use], again[use]
         for i in range(0, len(key), FLUSH):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + FLUSH]), pa.array(key[i : i + FLUSH])], ["id", "h"])
+            at = slice(i, i + FLUSH)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (doc, key, first, again)], ["id", "h", "first", "again"])
+
+    return texts.select("id", "z").mapInArrow(run, "id long, h long, first boolean, again boolean")
 
-    return texts.select("id", "z").mapInArrow(run, "id long, h long")
+
+def batch_array(rows: DataFrame) -> DataFrame:
+    """The sparse suffix array of a batch: (h, docs) by h, the fingerprint that suffixes begin with.
+
+    Order by fingerprint serves as well as order by letters, as only equal beginnings matter. A task
+    gives one document per fingerprint (those marked ``again`` are reported anyway), so ``docs`` has
+    at most one entry per task.
+    """
+    return rows.where("first").groupBy("h").agg(F.collect_list("id").alias("docs"))
 
 
 class Family:
@@ -165,21 +163,26 @@ class Family:
 
 
 def repeated(texts: DataFrame, batches: int, match: int, gram: int) -> DataFrame:
-    """(id, h): anchors that occur more than once, found batch by batch in the order of ids."""
-    cuts = texts.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    found, family = repeated_here(texts, match, gram), Family()
+    """(id, h): anchors that occur more than once, found batch by batch in the order of ids.
+
+    What a batch finds is written before the next one, so plans stay small however many batches there are.
+    """
+    cuts = texts.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
+    found, family = [], Family()
     for i in range(len(cuts) + 1):
         batch = texts
         if i:
             batch = batch.where(F.col("id") > cuts[i - 1])
         if i < len(cuts):
             batch = batch.where(F.col("id") <= cuts[i])
-        array = bucketed(batch_array(batch, match, gram), "h")
-        found = found.unionByName(family.scan(array))
+        rows = materialize(anchor_rows(batch, match, gram))
+        array = bucketed(batch_array(rows), "h")
+        own = rows.where("again").select("id", "h")
+        found.append(materialize(own.unionByName(family.scan(array))))
         if i < len(cuts):
             family.insert(array)
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 ROW = "kind byte, g long, c long, id long, key long, lo int, n int, at int"
@@ -319,14 +322,14 @@ def named(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, with_text: bool = False, match: int = MATCH, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def deduplicated(docs: DataFrame, with_text: bool = False, match: int = MATCH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): the rows of ``docs`` with their text's key and the key of its first copy, and what
     is left of each first copy by key.
 
     1. Equal texts are one; later copies of ``match`` bytes or more go whole.
-    2. Texts arrive in batches in the order of ids. Each batch gets a sparse suffix array; it is
-       merge-scanned against the levels of the index family, then added to it, and levels of equal
-       size merge. What is found: anchors that occur more than once.
+    2. Texts arrive in batches in the order of ids, whose number follows their bytes. Each batch gets
+       a sparse suffix array; it is merge-scanned against the levels of the index family, then added
+       to it, and levels of equal size merge. What is found: anchors that occur more than once.
     3. The windows of ``match`` bytes that such anchors stand for are compared by the hash of the
        anchor's whole context; where an anchor has different contexts, in smaller parts, and at last
        one by one. All but the first of equal windows are removed.
@@ -341,7 +344,8 @@ def deduplicated(docs: DataFrame, with_text: bool = False, match: int = MATCH, g
     firsts = rows.where("key = first").select("id", "digest", "key").distinct()
     texts = bucketed(packed(named(docs.select("doc_id", "text"))).join(firsts, ["id", "digest"]).dropDuplicates(["key"]).select("id", "key", "z"), "id")
 
-    found = repeated(texts, batches, match, gram)
+    n_bytes = rows.where("key = first").agg(F.sum("n_bytes")).first()[0] or 0
+    found = repeated(texts, max(BATCHES, -(-n_bytes // batch_bytes)), match, gram)
     covered, chosen = compared(materialize(contexts(texts, found, match, gram)), match)
     for step in STEPS:
         more, chosen = compared(materialize(parts(texts, chosen, match, step)), match)
@@ -349,16 +353,17 @@ def deduplicated(docs: DataFrame, with_text: bool = False, match: int = MATCH, g
     return rows, remaining(texts, covered, with_text)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 per row of ``docs`` (doc_id, text).
 
     Bytes go that a string of ``MATCH`` bytes covers which also starts earlier: in a smaller doc_id,
     or earlier in the document. Null text is empty and keeps its nothing. Rows that repeat id and
     text are the same document and get the same result; if an id repeats with another text, or is
     null, the row counts as later than all documents (in an order by hashes). Very long texts are
-    scanned whole.
+    scanned whole. Columns besides doc_id and text are not looked at, whatever their names; an empty
+    table gives no rows. The number of batches changes no result.
     """
-    rows, texts = deduplicated(docs)
+    rows, texts = deduplicated(docs, batch_bytes=batch_bytes)
     out = rows.join(texts.drop("left").withColumnRenamed("key", "first"), "first")
     empty = hashlib.sha256(b"").hexdigest()
     copy, long = F.col("key") != F.col("first"), F.col("n_bytes") >= MATCH

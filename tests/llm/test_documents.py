@@ -274,6 +274,9 @@ def test_repeated_passages(docs, empty):
             size, gone, spans, left = want[r.doc_id]
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (size, gone, spans, hashlib.sha256(left).hexdigest()), r.doc_id
     assert sum(w[1] for w in want.values()) > 2000
+    # seven batches or more: three levels, merged twice
+    small = sum(len((t or "").encode()) for _, t in UNIQUE) // 7
+    assert sorted(map(repr, suffix.digests(docs, batch_bytes=small).collect())) == sorted(map(repr, got))
     assert suffix.digests(empty).count() == 0
     left = {r.doc_id: r.text for r in suffix.without_repeats(docs).collect()}
     assert all(left[i] == w[3].decode("utf-8", "ignore") for i, w in want.items() if i in left and i != 49)

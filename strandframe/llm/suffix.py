@@ -129,6 +129,15 @@ def anchor_rows(texts: DataFrame, match: int, gram: int) -> DataFrame:
     return texts.select("id", "z").mapInArrow(run, "id long, h long, first boolean, again boolean")
 
 
+def discard(written: DataFrame) -> None:
+    """Removes the folder of a written table that nothing reads any more."""
+    files = written.inputFiles()
+    if files:
+        spark = written.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def batch_array(rows: DataFrame) -> DataFrame:
     """The sparse suffix array of a batch: (h, docs) by h, the fingerprint that suffixes begin with.
 
@@ -180,6 +189,7 @@ def repeated(texts: DataFrame, batches: int, match: int, gram: int) -> DataFrame
         array = bucketed(batch_array(rows), "h")
         own = rows.where("again").select("id", "h")
         found.append(materialize(own.unionByName(family.scan(array))))
+        discard(rows)
         if i < len(cuts):
             family.insert(array)
     return reduce(DataFrame.unionByName, found)

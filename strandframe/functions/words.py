@@ -87,15 +87,16 @@ def sentences(reads: list[str], k: int, s: int, strand: str | None, unk: str) ->
     return pc.binary_join(_lists(owner, words, len(reads)), " ")
 
 
-def _over_parts(kernel, kind: pa.DataType, spark_type: T.DataType):
-    """Arrow function read -> value of a kernel over lists of reads."""
+def _over_parts(kernel, kind: pa.DataType, spark_type: T.DataType, once: bool = False):
+    """Arrow function read -> value of a kernel over lists of reads; ``once``: filters on the value don't compute it again."""
 
     def run(reads: pa.Array) -> pa.Array:
         found = [kernel(part).cast(kind) for part in parts(reads.to_pylist())]
         return pa.concat_arrays(found) if found else pa.array([], kind)
 
     run.__annotations__ = {"reads": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, spark_type)
+    found = F.arrow_udf(run, spark_type)
+    return found.asNondeterministic() if once else found
 
 
 def known_words_column(read: Column, k: int, s: int, strand: str | None) -> Column:
@@ -158,6 +159,62 @@ def codes_column(words: Column) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.LongType())).asNondeterministic()(words)
 
 
+def _found(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Place of each code among the sorted ``codes``, -1 where it is none of them."""
+    if not len(codes):
+        return np.full(len(code), -1, np.int64)
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    return np.where(codes[at] == code, at, -1)
+
+
+def tokens_column(read: Column, shared, k: int, strand: str | None) -> Column:
+    """Ids of the k-mers of a read over broadcast (sorted codes, ids, id of unknown ones); runs of unknown ones are one."""
+
+    def tokens(reads: list[str]) -> pa.Array:
+        codes, ids, unk = shared.value
+        owner, code = kmer_codes(reads, k, strand, turned=True)
+        at = _found(codes, code)
+        unknown = at < 0
+        follows = np.zeros(len(code), bool)
+        follows[1:] = unknown[:-1] & (owner[1:] == owner[:-1])
+        kept = ~(unknown & follows)
+        values = np.where(unknown, unk, ids[at] if len(ids) else unk)
+        return _lists(owner[kept], pa.array(values[kept], pa.int32()), len(reads))
+
+    return _over_parts(tokens, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))(read)
+
+
+def chosen_words_column(read: Column, shared, k: int, strand: str | None) -> Column:
+    """The k-mers of a read that are among the broadcast sorted codes."""
+
+    def chosen(reads: list[str]) -> pa.Array:
+        owner, code = kmer_codes(reads, k, strand, turned=True)
+        met = (code >= 0) & (_found(shared.value, code) >= 0)
+        return _lists(owner[met], texts(code[met], k), len(reads))
+
+    return _over_parts(chosen, pa.list_(pa.string()), T.ArrayType(T.StringType()))(read)
+
+
+def code_counts_column(read: Column, k: int, strand: str | None) -> Column:
+    """(code, n) of the distinct unambiguous k-mers of a read, by code."""
+    item = pa.struct([("code", pa.int64()), ("n", pa.int64())])
+
+    def counts(reads: list[str]) -> pa.Array:
+        owner, code = kmer_codes(reads, k, strand, turned=True)
+        owner, code = owner[code >= 0], code[code >= 0]
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(code)))
+        pairs = pa.StructArray.from_arrays([pa.array(code[first], pa.int64()), pa.array(n, pa.int64())], fields=list(item))
+        return _lists(owner[first], pairs, len(reads))
+
+    fields = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    return _over_parts(counts, pa.list_(item), T.ArrayType(fields), once=True)(read)
+
+
 def tiled(owner: np.ndarray, reads: list[str | None], k: int, s: int, most: int = LETTERS) -> Iterator[tuple[np.ndarray, list[str]]]:
     """(owners, pieces) of about ``most`` letters: a longer read in pieces that together have each of its windows once."""
     step = max(1, most // s) * s

@@ -9,6 +9,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import words as W
 from ..functions.seq import UNK, fragments, kmer_to_int
 from ..functions.vectors import VectorTable, embedder, l2_normalize, vector_sums, word_embedder
 from ..session import fits, materialize
@@ -16,7 +17,7 @@ from .filters import wide_embedding
 from .kmers import filter_acgt
 from .ranking import number_rows
 from .skipgram import context_weights, numbered_words, seeded_vector, train_pairs
-from .tokens import kmer_positions
+from .tokens import by_repetition, kmer_positions
 
 SEED = 42
 # a vector table is sent to the tasks only below these bounds
@@ -225,8 +226,18 @@ def sentence_embedding(
 def kmer_hash_embedding(reads: DataFrame, k: int, keys: Sequence[str] = ("read_id",), strand: str = "revcomp") -> DataFrame:
     """E7. Sparse counts without a vocabulary: (keys, indices, counts), index = k-mer code.
 
-    Counts of a read form before the shuffle, as its k-mers stay together.
+    A read's k-mers are counted where it is; only reads that share their keys are brought together.
     """
+    if k > W.MAX_K:
+        return _hash_grouped(reads, k, keys, strand)
+    once, repeated = by_repetition(reads.select(*keys, "read"), keys)
+    lists = once.select(*keys, W.code_counts_column(F.col("read"), k, strand).alias("f")).where(F.size("f") > 0)
+    lists = lists.select(*keys, F.col("f.code").alias("indices"), F.col("f.n").alias("counts"))
+    return lists if repeated is None else lists.unionByName(_hash_grouped(repeated, k, keys, strand))
+
+
+def _hash_grouped(reads: DataFrame, k: int, keys: Sequence[str], strand: str) -> DataFrame:
+    """``kmer_hash_embedding`` by grouping every k-mer."""
     codes = filter_acgt(kmer_positions(reads, k, keys, strand=strand)).select(*keys, kmer_to_int("kmer").alias("code"))
     counts = codes.groupBy(*keys, "code").agg(F.count("*").alias("n"))
     lists = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("f"))

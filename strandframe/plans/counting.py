@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..functions import words as W
 from ..operators import context as X
 from ..operators import kmers as K
+from ..operators.tokens import by_repetition, code_table, kmer_positions
+from ..session import materialize
 from .fixtures import Fixtures, add_view
 from .registry import query
 from .sql import canon, flip, kmer_rows
@@ -187,15 +190,28 @@ def _(fx):
 
 
 def pruned_sentences(reads, vocab, k: int):
-    """(read_id, words): unambiguous canonical k-mers of each read that are in the vocabulary."""
+    """(read_id, words): unambiguous canonical k-mers of each read that are in the vocabulary.
+
+    A small vocabulary goes to the tasks; with a large one, and for reads that share their id, k-mers are joined with it.
+    """
+    # the vocabulary is the result of a count of all reads
+    vocab = materialize(vocab.select("kmer"))
+    table = code_table(vocab, k)
+    if table is None:
+        return _pruned_joined(reads, vocab, k)
+    shared = reads.sparkSession.sparkContext.broadcast(table[0])
+    once, repeated = by_repetition(reads.select("read_id", "read"), ["read_id"])
+    lists = once.select("read_id", W.chosen_words_column(F.col("read"), shared, k, "revcomp").alias("words"))
+    return lists if repeated is None else lists.unionByName(_pruned_joined(repeated, vocab, k))
+
+
+def _pruned_joined(reads, vocab, k: int):
     rows = K.filter_acgt(_positions(reads, k)).join(vocab.select("kmer"), "kmer", "left_semi")
     lists = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer"))).alias("w"))
     return lists.select("read_id", F.col("w.kmer").alias("words"))
 
 
 def _positions(reads, k: int):
-    from ..operators.tokens import kmer_positions
-
     return kmer_positions(reads, k, ["read_id"])
 
 

@@ -233,7 +233,50 @@ def tiled(owner: np.ndarray, reads: list[str | None], k: int, s: int, most: int
 
 
 def _added(tables: list[pa.Table], by: list[str]) -> pa.Table:
-    return pa.concat_tables(tables).group_by([*by, "code"]).aggregate([("n", "sum")]).rename_columns([*by, "code", "n"])
+    return pa.concat_tables(tables).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
+
+
+def _adding(count, by: list[str]):
+    """Function of batches that adds up the tables (by..., n) that ``count`` makes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for table in count(batch):
+                held.append(table)
+                rows += len(table)
+                if rows > HELD:
+                    held = [_added(held, by)]
+                    rows = len(held[0])
+                    if rows > HELD // 2:
+                        yield from held[0].to_batches(max_chunksize=1 << 16)
+                        held, rows = [], 0
+        if rows:
+            yield from _added(held, by).to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+def pair_counter(window: int):
+    """Function of batches of lists of words -> (a, b, d, n): words d places apart, 1 <= d <= window, counted; a null is a word too."""
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        lists = batch.column(0)
+        flat = lists.flatten().dictionary_encode()
+        words = pa.concat_arrays([flat.dictionary, pa.nulls(1, flat.dictionary.type)])
+        word = pc.fill_null(flat.indices, len(words) - 1).to_numpy().astype(np.int64)
+        owner = pc.list_parent_indices(lists).to_numpy()
+        for lo in range(0, len(word), LETTERS):
+            for d in range(1, window + 1):
+                left = slice(lo, max(lo, min(lo + LETTERS, len(word) - d)))
+                right = slice(left.start + d, left.stop + d)
+                a, b = word[left], word[right]
+                near = owner[left] == owner[right]
+                pair, n = np.unique(a[near] * len(words) + b[near], return_counts=True)
+                a, b = (words.take(pa.array(x)) for x in np.divmod(pair, len(words)))
+                yield pa.table({"a": a, "b": b, "d": pa.array(np.full(len(pair), d, np.int32)), "n": pa.array(n, pa.int64())})
+
+    return _adding(count, ["a", "b", "d"])
 
 
 def counter(k: int, s: int, strand: str | None, by: list[str]):
@@ -270,19 +313,4 @@ def counter(k: int, s: int, strand: str | None, by: list[str]):
             own_columns = {c: groups.column(c).take(pa.array(owner)) for c in by}
             yield pa.table({**own_columns, "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            for table in count(batch):
-                held.append(table)
-                rows += len(table)
-                if rows > HELD:
-                    held = [_added(held, by)]
-                    rows = len(held[0])
-                    if rows > HELD // 2:
-                        yield from held[0].to_batches(max_chunksize=1 << 16)
-                        held, rows = [], 0
-        if rows:
-            yield from _added(held, by).to_batches(max_chunksize=1 << 16)
-
-    return run
+    return _adding(count, [*by, "code"])

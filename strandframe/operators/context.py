@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seq import kmer_starts, orient_pair
+from ..functions.words import pair_counter
 
 
 def context_pairs(
@@ -58,6 +59,13 @@ def context_probability(counts: DataFrame) -> DataFrame:
     return counts.withColumn("probability", F.col("count") / total)
 
 
+def near_counts(sentences: DataFrame, words: Column | str, window: int) -> DataFrame:
+    """(a, b, d, n): words d <= window places apart in a sentence, added up inside tasks; a pair has a row per task that met it."""
+    lists = sentences.select((F.col(words) if isinstance(words, str) else words).alias("words"))
+    kind = lists.schema["words"].dataType.elementType.simpleString()
+    return lists.mapInArrow(pair_counter(window), f"a {kind}, b {kind}, d int, n long")
+
+
 def cooccurrence(sentences: DataFrame, words: Column | str, window: int) -> DataFrame:
     """D12. (a, b, weight): symmetric counts of words at distance d <= window, weighted 1/d.
 
@@ -66,14 +74,7 @@ def cooccurrence(sentences: DataFrame, words: Column | str, window: int) -> Data
     their mirror image after the aggregation.
     """
     arr = F.col(words) if isinstance(words, str) else words
-    rows = sentences.select(arr.alias("__w"))
-    at = rows.select("__w", F.posexplode("__w").alias("__p", "a"))
-    d = F.sequence(F.lit(1), F.least(F.lit(window), F.size("__w") - 1 - F.col("__p")))
-    near = at.filter(F.col("__p") + 1 < F.size("__w")).select(
-        "a", "__w", "__p", F.explode(d).alias("d")
-    )
-    pairs = near.select("a", F.get("__w", F.col("__p") + F.col("d")).alias("b"), "d")
-    counted = pairs.groupBy("a", "b", "d").agg(F.count("*").alias("n"))
+    counted = near_counts(sentences, arr, window).groupBy("a", "b", "d").agg(F.sum("n").alias("n"))
     both = counted.select(
         F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))),
         (F.col("n") / F.col("d")).alias("w"),

@@ -83,6 +83,8 @@ def word2vec_train(
 
 def kmer_idf(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """E3. (kmer, idf): ln(total / count) of the vocabulary, 1 for entries without a count."""
+    # the total and every use of the result would count the words again
+    words = materialize(words)
     total = words.agg(F.sum("count")).scalar()
     known = words.select("kmer", F.log(total / F.col("count")).alias("idf"))
     return vocab.select("kmer").join(known, "kmer", "left").fillna(1.0, ["idf"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .context import near_counts
 from .ranking import number_rows
 
 SEED = 42
@@ -31,14 +32,8 @@ def context_weights(sentences: DataFrame, window: int = 5, words: str = "words")
     A pair d places apart counts ``window + 1 - d``, which is ``window`` times its chance under the
     usual random window size. Null words take a place and are in no pair.
     """
-    size = F.size(words)
-    places = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.struct(F.element_at(words, i).alias("word"), F.slice(words, i + 1, window).alias("next")),
-    )
-    near = sentences.where(size > 0).select(F.explode(places).alias("p")).where("p.word IS NOT NULL")
-    near = near.select(F.col("p.word").alias("word"), F.posexplode("p.next").alias("d", "context"))
-    near = near.where("context IS NOT NULL").groupBy("word", "context").agg(F.sum(F.lit(window) - F.col("d")).alias("weight"))
+    near = near_counts(sentences, words, window).where("a IS NOT NULL AND b IS NOT NULL")
+    near = near.groupBy(F.col("a").alias("word"), F.col("b").alias("context")).agg(F.sum((F.lit(window + 1) - F.col("d")) * F.col("n")).alias("weight"))
     back = near.select(F.col("context").alias("word"), F.col("word").alias("context"), "weight")
     return near.unionByName(back).groupBy("word", "context").agg(F.sum("weight").alias("weight"))
 

@@ -67,3 +67,22 @@ def test_plain_words_are_substrings(spark):
         df = spark.createDataFrame([(r,) for r in rows], "read string")
         want = F.transform(S.kmer_starts("read", 4, 3), lambda i: F.substr("read", i, F.lit(4)))
         assert all(r.a == r.b for r in df.select(want.alias("a"), S.kmers("read", 4, 3, strand=None).alias("b")).collect())
+
+
+def test_near_words_equal_a_plain_count(spark, monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    lists = [None, [], [None], *[[rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(9))] for _ in range(40)]]
+    want = Counter()
+    for words in lists:
+        for i, a in enumerate(words or []):
+            for d, b in enumerate(words[i + 1 : i + 4], 1):
+                want[a, b, d] += 1
+    for most in (W.LETTERS, 5):
+        monkeypatch.setattr(W, "LETTERS", most)
+        batches = [pa.record_batch({"words": pa.array(part, pa.list_(pa.string()))}) for part in (lists[:9], lists[9:])]
+        got = [(*r[:3], r[3]) for b in W.pair_counter(3)(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns])]
+        assert {r[:3]: r[3] for r in got} == +want and len(got) == len(+want)

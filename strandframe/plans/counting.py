@@ -148,8 +148,13 @@ def _(fx):
     SELECT kmer, context, CAST(count(*) AS BIGINT) AS n FROM turned GROUP BY ALL""",
 )
 def _(fx):
-    p = X.orient(X.context_pairs(fx.reads, 4, 3, 2, 3))
-    return p.groupBy("kmer", "context").agg(F.count("*").alias("n"))
+    return oriented_counts(X.context_pairs(fx.reads, 4, 3, 2, 3))
+
+
+def oriented_counts(pairs):
+    """(kmer, context, n) in the orientation of C17; equal pairs are oriented once."""
+    plain = pairs.groupBy("kmer", "context").agg(F.count("*").alias("n"))
+    return X.orient(plain).groupBy("kmer", "context").agg(F.sum("n").alias("n"))
 
 
 COUNTS = f"{_pairs_sql(3, 3, 1, 1, 'right')}, {_oriented_sql(3)}"

@@ -54,3 +54,16 @@ def test_gathered_counts_are_the_same(spark):
     df = spark.createDataFrame(rows(), READS)
     plan = K.kmer_count(df, 3, by=["read_id"], gather=True)
     assert plain(plan) == plain(K.kmer_count(df, 3, by=["read_id"]))
+
+
+def test_equal_pairs_are_oriented_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandframe.operators import context as X
+
+    pairs = X.context_pairs(spark.createDataFrame(rows(), READS), 2, 2, 1)
+    want = plain(X.orient(pairs).groupBy("kmer", "context").agg(F.count("*")))
+    seen, orient = [], X.orient
+    monkeypatch.setattr(X, "orient", lambda df: seen.append(df) or orient(df))
+    assert plain(C.oriented_counts(pairs)) == want
+    assert seen[0].count() == pairs.distinct().count() < pairs.count()

@@ -130,3 +130,18 @@ def test_the_best_of_several_draws_is_taken(spark, monkeypatch):
     assert all(len(d.fits) == MO.INNER - 1 for d in draws[:-1])
     sides = [sorted((r.label, r["count"]) for r in rows.groupBy("label").count().collect()) for rows in draws[-1].fits[: MO.INNER]]
     assert sides == [[(0.0, 12), (1.0, 12)]] * MO.INNER
+
+
+def test_models_score_in_a_session_that_has_observed_a_query(spark):
+    from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    rows = spark.createDataFrame([(float(i % 2), [float(i % 2)]) for i in range(20)], "label double, f array<double>")
+    rows.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 20}
+    rows = rows.select("label", array_to_vector("f").alias("features"))
+    for estimator in (RandomForestClassifier(numTrees=3), LinearSVC(maxIter=3)):
+        assert all(r.y == r.pred for r in MO._scored(estimator.fit(rows), rows).collect())

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions.seq import pair_suffix
-from .files import BLOCK_BYTES, SPLIT_BYTES, Lines, Range, line_blocks, ranges
+from .files import BLOCK_BYTES, SPLIT_BYTES, Lines, Range, Ranges, line_blocks, ranges, tasks
 
 PATTERNS = "*.fq,*.fastq,*.fq.gz,*.fastq.gz"
 
 
 class FastqSource(DataSource):
-    """Four-line records of a file or folder, one task per gzip file or byte range.
+    """Four-line records of a file or folder by gzip files or byte ranges; a task reads several where they are short and many.
 
     Options: ``glob`` (comma-separated name patterns), ``splitBytes``,
     ``quality`` (false leaves the quality line out).
@@ -42,10 +42,14 @@ class FastqReader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
         self.quality = quality
 
-    def partitions(self) -> list[Range]:
-        return ranges(self.path, self.patterns, self.split_bytes)
+    def partitions(self) -> list[Ranges]:
+        return tasks(ranges(self.path, self.patterns, self.split_bytes))
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in task.parts:
+            yield from self.batches(part)
+
+    def batches(self, part: Range) -> Iterator[pa.RecordBatch]:
         for lines, first, number, whole in records(part):
             at = first + 4 * np.arange(number)
             cols = {"read_id": lines.text(at), "read": lines.text(at + 1)}

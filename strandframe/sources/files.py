@@ -14,6 +14,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import InputPartition
 
 SPLIT_BYTES = 128 * 1024 * 1024
+# tasks of short ranges; longer ranges have a task each
+MOST_TASKS = 1024
 
 
 @dataclass
@@ -25,6 +27,20 @@ class Range(InputPartition):
     end: int | None
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    parts: list[Range]
+
+
+def tasks(parts: list[Range], most: int = MOST_TASKS) -> list[Ranges]:
+    """Ranges dealt to ``most`` tasks, or to more that read no more than ``SPLIT_BYTES`` each; neighbours stay together."""
+    whole = sum(SPLIT_BYTES if p.end is None else p.end - p.start for p in parts)
+    each = max(1, len(parts) // max(1, most, -(-whole // SPLIT_BYTES)))
+    return [Ranges(parts[i : i + each]) for i in range(0, len(parts), each)]
+
+
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
@@ -59,10 +75,14 @@ def _uri(given: str, root: str, found: str) -> str:
 
 
 BLOCK_BYTES = 4 << 20
+BEYOND = 1 << 12
 
 
 def blocks(part: Range, size: int = BLOCK_BYTES) -> Iterator[bytes]:
-    """Raw bytes from the range's start on, or the text of a compressed file; they don't stop at the range's end."""
+    """Raw bytes from the range's start on, or the text of a compressed file; they don't stop at the range's end.
+
+    The first block of a short range ends a little after it, for the record that the end cuts.
+    """
     system, name = resolve(part.path)
     if part.end is None:
         with system.open_input_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
@@ -72,6 +92,7 @@ def blocks(part: Range, size: int = BLOCK_BYTES) -> Iterator[bytes]:
     with system.open_input_file(name) as raw:
         # one byte earlier: a line that starts right at the range belongs to it
         raw.seek(max(part.start - 1, 0))
+        size = min(size, part.end - part.start + BEYOND)
         while block := raw.read(size):
             yield block
 

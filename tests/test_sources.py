@@ -137,3 +137,21 @@ def test_blocks_of_any_size_give_the_same_records(tmp_path):
     for part in fasta.sequence_lines(Range(str(tmp_path / "f.fna"), 0, 1000), state, 2):
         got += zip(*(x.to_pylist() for x in part))
     assert got == [("a", 0, "AC"), ("a", 1, "GT"), ("b", 0, "T")] and (state.record, state.number) == ("b", 1)
+
+
+def test_short_ranges_read_little_and_share_tasks(tmp_path):
+    from strandframe.sources import files
+    from strandframe.sources.fastq import FastqReader
+
+    text = "".join(f"@r{i}/1\nACGT{'ACGT' * (i % 9)}\n+\n@+@+{'IIII' * (i % 9)}\n" for i in range(4000))
+    (tmp_path / "x.fq").write_text(text)
+    reader = FastqReader({"path": str(tmp_path), "splitbytes": "64"}, False)
+    parts = files.ranges(str(tmp_path), ["*.fq"], 64)
+    assert len(next(files.blocks(parts[3]))) < 64 + 2 * files.BEYOND
+    dealt = reader.partitions()
+    assert len(dealt) <= 2 * files.MOST_TASKS < len(parts) and [p for t in dealt for p in t.parts] == parts
+    ids = [r for t in dealt for batch in reader.read(t) for r in batch["read_id"].to_pylist()]
+    assert ids == [f"@r{i}/1" for i in range(4000)]
+    # long ranges and whole files keep a task each
+    many = [files.Range("x", i * files.SPLIT_BYTES, (i + 1) * files.SPLIT_BYTES) for i in range(3000)]
+    assert len(files.tasks(many)) == len(files.tasks([files.Range("x.gz", 0, None)] * 3000)) == 3000

@@ -144,3 +144,30 @@ def test_alignment_brute_force(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)] + [(len(cases), None, "A")], "i int, a string, b string")
     got = [r.s for r in df.select("i", needleman_wunsch("a", "b").alias("s")).orderBy("i").collect()]
     assert got == want + [None]
+
+
+def test_scores_of_long_and_foreign_words_equal_the_recurrence():
+    import random
+
+    rng = random.Random(3)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    cases = [(word(rng.randrange(0, 130), x), word(rng.randrange(0, 130), x)) for x in ("ACGTN", "ACé𝄞") for _ in range(20)]
+
+    def plain(a, b):
+        last = [-j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            now = [-i]
+            for j, y in enumerate(b, 1):
+                now.append(max(last[j - 1] + (1 if x == y else -1), last[j] - 1, now[-1] - 1))
+            last = now
+        return last[-1]
+
+    assert align_scores([a for a, _ in cases], [b for _, b in cases]).tolist() == [plain(*c) for c in cases]
+
+
+def test_pairs_are_aligned_where_they_are(spark):
+    from strandframe.plans.sequences import aligned
+
+    got = aligned(spark.createDataFrame([("x", "ACGT", "ACT"), ("y", "ACGT", "ACT"), ("z", None, "A")], "read_id string, a string, b string"))
+    assert sorted(map(tuple, got.collect())) == [("x", 2), ("y", 2)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

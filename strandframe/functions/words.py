@@ -159,6 +159,27 @@ def codes_column(words: Column) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.LongType())).asNondeterministic()(words)
 
 
+def acgt_words(lists: pa.Array) -> pa.Array:
+    """Lists of words without those that hold other letters than A, C, G and T, or are null; an empty word stays."""
+    words = lists.flatten().cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    bad = np.concatenate(([0], np.cumsum(DIGIT[np.frombuffer(words.buffers()[2] or b"", np.uint8)] > 3)))
+    kept = (bad[offsets[1:]] == bad[offsets[:-1]]) & words.is_valid().to_numpy(zero_copy_only=False)
+    upto = np.concatenate(([0], np.cumsum(kept)))
+    bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    return pa.ListArray.from_arrays(pa.array(upto[bounds], pa.int32()), words.filter(pa.array(kept)).cast(pa.string()), mask=lists.is_null())
+
+
+def acgt_column(words: Column) -> Column:
+    """``acgt_words`` of a column; counts and filters on it don't compute it again."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        return acgt_words(lists)
+
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.StringType())).asNondeterministic()(words)
+
+
 def _found(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Place of each code among the sorted ``codes``, -1 where it is none of them."""
     if not len(codes):

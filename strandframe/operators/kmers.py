@@ -25,7 +25,9 @@ def filter_min_length(reads: DataFrame, k: int, strict: bool = False, read: str
 
 
 def filter_acgt(kmers: DataFrame, kmer: str = "kmer") -> DataFrame:
-    """B2. K-mers made of A, C, G and T only."""
+    """B2. K-mers made of A, C, G and T only; of a column of lists, the lists of those."""
+    if isinstance(kmers.schema[kmer].dataType, T.ArrayType):
+        return kmers.withColumn(kmer, W.acgt_column(F.col(kmer)))
     return kmers.filter(~F.col(kmer).rlike(AMBIGUOUS))
 
 

@@ -8,7 +8,7 @@ from ..functions import seq as S
 from ..operators import datasets as D
 from ..operators import filters as B
 from ..operators import kmers as K
-from ..operators.tokens import kmer_positions
+from ..operators.tokens import by_repetition
 from .registry import query
 
 BIG = "bigint"
@@ -42,8 +42,21 @@ def _(fx):
     WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY read_id""",
 )
 def _(fx):
-    kept = K.filter_acgt(kmer_positions(fx.reads, 9, ["read_id"], strand=None))
-    return kept.groupBy("read_id").agg(F.count("*").alias("n"), F.min("kmer").alias("first"), F.max("kmer").alias("last"))
+    return first_and_last(fx.reads)
+
+
+def first_and_last(reads):
+    """(read_id, n, first, last) of a read's 9-mers, looked at where it is; only reads that share their id are grouped."""
+    once, repeated = by_repetition(reads.select("read_id", "read"), ["read_id"])
+
+    def facts(rows):
+        kept = K.filter_acgt(rows.select("read_id", S.kmers("read", 9, strand=None).alias("kmer"))).where(F.size("kmer") > 0)
+        return kept.select("read_id", F.size("kmer").cast(BIG).alias("n"), F.array_min("kmer").alias("first"), F.array_max("kmer").alias("last"))
+
+    if repeated is None:
+        return facts(once)
+    grouped = facts(repeated).groupBy("read_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return facts(once).unionByName(grouped)
 
 
 @query(

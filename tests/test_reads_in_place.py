@@ -67,3 +67,18 @@ def test_equal_pairs_are_oriented_once(spark, monkeypatch):
     monkeypatch.setattr(X, "orient", lambda df: seen.append(df) or orient(df))
     assert plain(C.oriented_counts(pairs)) == want
     assert seen[0].count() == pairs.distinct().count() < pairs.count()
+
+
+def test_first_and_last_words_equal_those_of_the_grouping(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.plans.filters import first_and_last
+
+    df = spark.createDataFrame([(i, r and r * 3) for i, _, r in rows()], "read_id string, read string")
+    kept = K.filter_acgt(TK.kmer_positions(df, 9, ["read_id"], strand=None))
+    want = kept.groupBy("read_id").agg(F.count("*"), F.min("kmer"), F.max("kmer"))
+    assert plain(first_and_last(df)) == plain(want) != []
+    alone = first_and_last(df.where("read_id NOT IN ('b')"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    lists = spark.createDataFrame([(["ACG", "ANG", None, ""],), (None,), ([],)], "kmer array<string>")
+    assert [r.kmer for r in K.filter_acgt(lists).collect()] == [["ACG", ""], None, []]

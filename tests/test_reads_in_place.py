@@ -82,3 +82,31 @@ def test_first_and_last_words_equal_those_of_the_grouping(spark):
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
     lists = spark.createDataFrame([(["ACG", "ANG", None, ""],), (None,), ([],)], "kmer array<string>")
     assert [r.kmer for r in K.filter_acgt(lists).collect()] == [["ACG", ""], None, []]
+
+
+def test_vectors_in_blocks_equal_those_of_the_join(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), READS)
+    vectors = spark.createDataFrame([(a + b, [float(i), 1.0 - j, 3.0]) for i, a in enumerate("ACG") for j, b in enumerate("ACGT")], "kmer string, vector array<double>")
+    monkeypatch.setattr(E, "BLOCK_BYTES", 64)
+    values = lambda df: sorted((repr(r.read_id), repr(r.read), [round(x, 9) for x in r.e]) for r in df.collect())
+    unit = E.unit_vectors(vectors)
+    assert len(E._vector_blocks(unit, 2)[0]) > 1
+    for agg in ("mean", "sum"):
+        for strand in ("complement", "revcomp"):
+            want = E._embed_by_join(df, unit, 2, agg, strand, "read", ["read_id"], "e")
+            got = E.read_embedding(df, vectors, 2, agg, strand=strand, out="e", max_bytes=0)
+            assert values(got) == values(want)
+    alone = E.read_embedding(df.where("read_id NOT IN ('b')"), vectors, 2, max_bytes=0)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    for odd in ([("AN", [1.0])], [("AC", [1.0]), ("AC", [2.0])], [("AC", [None])], [("AC", [1.0]), ("AG", [1.0, 2.0])]):
+        assert E._vector_blocks(spark.createDataFrame(odd, "kmer string, vector array<double>"), 2) is None
+
+
+def test_wide_vectors_come_from_the_tasks(spark):
+    df = spark.createDataFrame(rows(), READS)
+    vectors = spark.createDataFrame([("A", [1.0, 0.5]), ("C", [-1.0, 0.25])], "kmer string, vector array<double>")
+    got = E.read2vec(df, vectors, 1, drop_col=False, digits=3)
+    want = E.read2vec(df, vectors, 1, drop_col=False, digits=3, max_bytes=0)
+    assert got.columns == ["read_id", "sample_id", "read", "0", "1"] == want.columns
+    assert plain(got) == plain(E.read_embedding(df, vectors, 1).selectExpr(*READS.replace(" string", "").split(", "), "round(embedding[0], 3) + 0.0D", "round(embedding[1], 3) + 0.0D"))
+    assert "Project" not in got._jdf.queryExecution().executedPlan().toString()

@@ -108,3 +108,40 @@ def test_dataset_of_reads_is_labelled_and_split_once(spark):
     out = D.read2genome_dataset(fastq, mapping, genomes, taxonomy)
     assert out.filter("part = 'valid'").count() == 1 and out.count() == 4
     assert out.inputFiles() and all("strandframe-" in f for f in out.inputFiles())
+
+
+def test_rows_of_pairs_are_copied_a_bounded_number_of_times():
+    from strandframe.operators import distance as DI
+
+    for n in (6_000, 60_000, 360_000):
+        assert -(-n // DI.block_rows(n, 64)) <= DI.BLOCKS
+    # blocks of wide vectors and of huge sets still fit a task
+    assert DI.block_rows(1 << 30, 1) == DI.MOST_ROWS and DI.block_rows(1 << 30, 1 << 13) * (1 << 13) <= DI.MOST_NUMBERS
+
+
+def test_pairs_are_handed_on_in_parts(spark, monkeypatch):
+    from strandframe.operators import distance as DI
+
+    rng = random.Random(5)
+    rows = [(i, [rng.random(), rng.random()]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    want = {(r.i, r.j): r.distance for r in DI.genome_distance(df).collect()}
+    assert len(want) == 190
+    monkeypatch.setattr(DI, "PAIRS", 10)
+    got = {(r.i, r.j): r.distance for r in DI.genome_distance(df, block=7).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert DI.genome_distance(df.limit(0)).count() == 0
+
+
+def test_no_row_holds_a_whole_block_of_a_matrix(spark, monkeypatch):
+    from strandframe.operators import distance as DI
+
+    monkeypatch.setattr(DI, "STRIP", 2)
+    cells = spark.createDataFrame([(r, c, float(r * 9 + c)) for r in range(9) for c in range(9)], "r bigint, c bigint, v double")
+    strips = DI._matrix_blocks(cells, "v", 5, False).collect()
+    assert len(strips) == 4 * 3 and max(len(s.numbers) for s in strips) == 2 * 5 * 8
+    rng = random.Random(6)
+    pairs = [(i, j, rng.random(), rng.random()) for i in range(11) for j in range(i + 1, 11)]
+    x, y = (spark.createDataFrame([(i, j, v[k]) for i, j, *v in pairs], "i bigint, j bigint, distance double") for k in (0, 1))
+    for part in (x, x.where("i <> 4 OR j <> 7")):
+        assert DI.mantel(part, y, 19, block=4, at_once=7).first() == pytest.approx(DI.mantel(part, y, 19).first())

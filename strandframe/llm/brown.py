@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ LONGEST = 64
 ADD = 0.5
 BEHIND = 50.0
 FLUSH = 400_000
+# bytes of texts that a task scores at once
+PART = 1 << 20
 BLOCK = 1 << 22
 END_WORD = ""
 
@@ -319,6 +322,18 @@ def fit(docs: DataFrame, setting: Setting | None = None) -> tuple[Model, DataFra
     return Model(setting, words, freq, kind, log_next, log_class, ends, int(total), int(types)), counts
 
 
+def _parts(texts: list[bytes]):
+    """(number of the first, texts): neighbouring texts of about ``PART`` bytes."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > PART:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield first, texts[first:]
+
+
 def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
 
@@ -350,34 +365,40 @@ def score(docs: DataFrame, setting: Setting | None = None) -> DataFrame:
         units = Units(words[: setting.head], setting)
         count = dict(zip((w.encode() for w in words), freq))
         row, end = TaskContext.get().partitionId() << 40, setting.units - 1
+        end_kind = int(kind[end])
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                found = text.lower().split()
-                ids = kind[np.array([end, *map(units.__getitem__, found), end], np.int64)]
-                value = log_next[ids[:-1], ids[1:]].sum() - log_class[ids[1:]].sum()
-                here = Counter(found)
-                rare, known = [], int(ends > 0)
-                base = math.log10(ends + 1) - (len(found) + 1) * base_norm
-                value += math.log10(ends + ADD)
-                for word, n in here.items():
-                    c = count.get(word)
-                    if c is None:
-                        rare.append((word.decode(), n))
-                    else:
-                        known += n
-                        base += n * math.log10(c + 1)
-                        value += n * math.log10(c + ADD)
-                rows.append((row, doc_id, len(found) + 1, known, base, float(value), rare))
-                row += 1
-            offsets = np.cumsum([0, *(len(x[-1]) for x in rows)])
-            flat = [y for x in rows for y in x[-1]]
-            pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int64())], ["word", "n"])
-            types = [pa.int64()] * 4 + [pa.float64()] * 2
-            columns = [pa.array([x[i] for x in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"]
-            )
+            for at, texts in _parts(text_bytes(batch.column(1))):
+                found = [text.lower().split() for text in texts]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                owner = np.repeat(np.arange(len(found)), sizes)
+                # every distinct word of the texts is looked up once
+                coded = pa.array(chain.from_iterable(found), pa.large_binary()).dictionary_encode()
+                place, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                kinds = kind[np.fromiter(map(units.__getitem__, distinct), np.int64, len(distinct))]
+                c = np.fromiter((count.get(w, -1) for w in distinct), np.int64, len(distinct))
+                ends_at = np.cumsum(sizes + 1)
+                here = np.full(ends_at[-1], end_kind, np.int64)
+                inside = np.ones(len(here), bool)
+                inside[ends_at - 1] = False
+                here[inside] = kinds[place]
+                # a text begins after an end, as which the one before it closes
+                before = np.concatenate(([end_kind], here[:-1]))
+                value = np.add.reduceat(log_next[before, here] - log_class[here], ends_at - sizes - 1)
+                summed = lambda x: np.bincount(owner, x[place], len(found))
+                met = c >= 0
+                known = summed(met).astype(np.int64) + int(ends > 0)
+                base = math.log10(ends + 1) - (sizes + 1) * base_norm + summed(np.log10(np.where(met, c + 1, 1)))
+                value += math.log10(ends + ADD) + summed(np.log10(np.where(met, c + ADD, 1.0)))
+                rare = ~met[place]
+                key, n = np.unique(owner[rare] * max(1, len(distinct)) + place[rare], return_counts=True)
+                whose, which = np.divmod(key, max(1, len(distinct)))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(found)))))
+                pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(which)).cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+                columns = [pa.array(row + np.arange(len(found))), batch.column(0).slice(at, len(found)), *map(pa.array, (sizes + 1, known, base, value))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"]
+                )
+                row += len(found)
 
     rows = materialize(docs.mapInArrow(run, schema))
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word", "left")

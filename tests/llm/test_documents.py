@@ -308,3 +308,14 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
         monkeypatch.setattr(shingle_join, "ROUNDS", rounds)
         got = {r.doc_id: r.component_id for r in shingle_join.similar_documents(df, 3, 90).collect()}
         assert got == {i: c for i, (_, c) in cases.similar(rows, 3, 90).items()}
+
+
+def test_brown_scores_do_not_depend_on_the_parts(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 5 + 1)) + " É\tw1") for i in range(30)] + [(30, None), (31, ""), (None, "w1 w2"), (31, "rare Rare RARE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    setting = brown.Setting(head=5, classes=2, endings=2, rounds=1, heavy=6)
+    plain = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in brown.score(docs, setting).collect())
+    whole = plain()
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(brown, "PART", 20)
+    assert plain() == whole

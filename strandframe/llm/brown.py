@@ -36,6 +36,9 @@ FLUSH = 400_000
 # bytes of texts that a task scores at once
 PART = 1 << 20
 BLOCK = 1 << 22
+# units are dealt to so many folds, and a row of a fold holds at most so many neighbours
+FOLDS = 256
+STRIP = 1 << 13
 END_WORD = ""
 
 
@@ -145,34 +148,81 @@ def transitions(train: DataFrame, head, setting: Setting) -> DataFrame:
     return train.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def profiles(pairs: DataFrame, kinds, setting: Setting) -> DataFrame:
-    """(unit, side, kind, n): how often a unit stands before (0) or after (1) a class; side 2 is itself."""
+def neighbours(pairs: DataFrame, setting: Setting) -> DataFrame:
+    """(fold, key, other, n): every count of ``pairs`` at both its units, in strips of numbers as bytes.
+
+    ``key`` is 2 * unit, plus 1 where ``other`` stands before the unit. A fold holds every ``FOLDS``-th unit
+    and is shuffled to one place here, so that a round adds up a unit's counts where they are.
+    """
+    folds, strip = FOLDS, STRIP
 
     def run(batches):
-        kind, m, k = kinds.value, setting.units, setting.kinds
-        keys, counts = [], []
+        held, size = [], 0
 
         def out():
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(place, np.concatenate(counts)).astype(np.int64)
-            unit, rest = np.divmod(key, 3 * k)
-            side, other = np.divmod(rest, k)
-            keys.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(side.astype(np.int32)), pa.array(other.astype(np.int32)), pa.array(n)], ["unit", "side", "kind", "n"])
+            code, n = (np.concatenate(x) for x in zip(*held))
+            a, b = np.divmod(code, setting.units)
+            key, other, n = np.concatenate((2 * a, 2 * b + 1)), np.concatenate((b, a)), np.concatenate((n, n))
+            fold = key // 2 % folds
+            order = np.argsort(fold * (2 * setting.units) + key)
+            ends = np.searchsorted(fold[order], np.arange(folds + 1))
+            rows = []
+            for f in np.flatnonzero(np.diff(ends)):
+                for at in range(ends[f], ends[f + 1], strip):
+                    some = order[at : min(at + strip, ends[f + 1])]
+                    rows.append((int(f), key[some].astype(np.int32).tobytes(), other[some].astype(np.int32).tobytes(), n[some].tobytes()))
+            types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["fold", "key", "other", "n"])
 
         for batch in batches:
-            a, b = np.divmod(batch.column(0).to_numpy(), m)
-            n = batch.column(1).to_numpy()
-            same = a == b
-            keys += [(a * 3) * k + kind[b], (b * 3 + 1) * k + kind[a], ((a * 3 + 2) * k)[same]]
-            counts += [n, n, n[same]]
-            if sum(map(len, keys)) > FLUSH:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size > FLUSH:
                 yield out()
-        if keys:
+                held, size = [], 0
+        if size:
+            yield out()
+
+    strips = pairs.select("code", "n").mapInArrow(run, "fold int, key binary, other binary, n binary")
+    return strips.repartition("fold").sortWithinPartitions("fold")
+
+
+def profiles(strips: DataFrame, kinds, setting: Setting) -> DataFrame:
+    """(unit, cells, n): how often a unit stands before a class (cell = class) or after one (cell = classes + class);
+    cell 2 * classes counts the unit before itself. A unit may have several rows, which add up.
+    """
+    folds = FOLDS
+
+    def run(batches):
+        kind, k = kinds.value, setting.kinds
+        width, members = 2 * k + 1, setting.units // folds + 1
+        now, total = -1, np.zeros(members * width)
+
+        def out():
+            at = np.flatnonzero(total)
+            member, cell = np.divmod(at, width)
+            starts = np.flatnonzero(np.diff(member, prepend=-1))
+            offsets = pa.array(np.append(starts, len(at)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(cell, pa.int32()), pa.array(total[at].astype(np.int64)))]
+            return pa.RecordBatch.from_arrays([pa.array(member[starts] * folds + now), *lists], ["unit", "cells", "n"])
+
+        for batch in batches:
+            for fold, key, other, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if fold != now:
+                    if now >= 0:
+                        yield out()
+                    now = fold
+                    total[:] = 0
+                key, other, n = np.frombuffer(key, np.int32), np.frombuffer(other, np.int32), np.frombuffer(n, np.int64)
+                unit, before = key >> 1, key & 1
+                first = unit // folds * width
+                same = (unit == other) & (before == 0)
+                total += np.bincount(first + before * k + kind[other], n, len(total))
+                total += np.bincount(first[same] + 2 * k, n[same], len(total))
+        if now >= 0:
             yield out()
 
-    return pairs.mapInArrow(run, "unit long, side int, kind int, n long").groupBy("unit", "side", "kind").agg(F.sum("n").alias("n"))
+    return strips.select("fold", "key", "other", "n").mapInArrow(run, "unit long, cells array<int>, n array<long>")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -205,7 +255,8 @@ def best_class(own: int, after: np.ndarray, before: np.ndarray, self_count: floa
 def exchange(pairs: DataFrame, head: list[str], setting: Setting) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, transitions between classes) after the rounds of exchange.
 
-    A round profiles all units against the present classes (one pass over the counts) and moves
+    Counts are brought to their units once (``neighbours``). A round profiles all units against the
+    present classes (one pass over the counts, which stay where they are) and moves
     every word of one half of the head to its best class; halves take turns by a hash, so that
     words that would swap do not move at once. The class vector and the class matrix, of sizes set
     by ``setting``, are all that the driver sees.
@@ -215,19 +266,22 @@ def exchange(pairs: DataFrame, head: list[str], setting: Setting) -> tuple[np.nd
     kind = np.zeros(setting.units, np.int64)
     kind[: len(head)] = [ending(w, first) for w in head]
     kind[setting.head :] = np.arange(first, k)
+    strips = materialize(neighbours(pairs, setting))
     for turn in range(setting.rounds + 1):
         shared = sc.broadcast(kind)
-        found = materialize(profiles(pairs, shared, setting))
+        found = materialize(profiles(strips, shared, setting))
 
         def sums(batches, names=shared, k=k):
             total = np.zeros(k * k, np.int64)
             for batch in batches:
-                unit, other, n = (c.to_numpy() for c in batch.columns)
-                total += np.bincount(names.value[unit] * k + other, n, k * k).astype(np.int64)
+                unit = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+                cell, n = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+                after = cell < k
+                total += np.bincount(names.value[unit[after]] * k + cell[after], n[after], k * k).astype(np.int64)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-        cells = found.where("side = 0").select("unit", "kind", "n").mapInArrow(sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cells = found.mapInArrow(sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         matrix = np.zeros(k * k)
         matrix[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
         matrix = matrix.reshape(k, k)
@@ -238,16 +292,17 @@ def exchange(pairs: DataFrame, head: list[str], setting: Setting) -> tuple[np.nd
         def move(batches, names=shared, table=table, k=k, first=first):
             for batch in batches:
                 unit, new = [], []
-                for u, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    sides = np.zeros((3, k))
-                    for x in rows:
-                        sides[x["side"], x["kind"]] += x["n"]
+                cell, n = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+                ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+                for u, lo, hi in zip(batch.column(0).to_pylist(), [0, *ends], ends):
+                    sides = np.bincount(cell[lo:hi], n[lo:hi], 2 * k + 1)
                     unit.append(u)
-                    new.append(best_class(int(names.value[u]), sides[0], sides[1], sides[2, 0], table.value, first))
+                    new.append(best_class(int(names.value[u]), sides[:k], sides[k : 2 * k], sides[2 * k], table.value, first))
                 yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(new, pa.int64())], ["unit", "new"])
 
         turns = found.where((F.col("unit") < len(head)) & (F.pmod(F.xxhash64(F.lit(turn // 2), "unit"), F.lit(2)) == turn % 2))
-        turns = turns.groupBy("unit").agg(F.collect_list(F.struct("side", "kind", "n")).alias("rows"))
+        turns = turns.groupBy("unit").agg(F.collect_list(F.struct("cells", "n")).alias("rows"))
+        turns = turns.select("unit", F.flatten("rows.cells").alias("cells"), F.flatten("rows.n").alias("n"))
         moved = turns.mapInArrow(move, "unit long, new long").toArrow()
         kind = kind.copy()
         kind[moved.column(0).to_numpy()] = moved.column(1).to_numpy()

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandframe.llm import brown, licenses, mixing, packing, quality, shingle_join, suffix, tokens
@@ -319,3 +320,31 @@ def test_brown_scores_do_not_depend_on_the_parts(spark, monkeypatch):
     assert len(whole) == len(rows)
     monkeypatch.setattr(brown, "PART", 20)
     assert plain() == whole
+
+
+def test_brown_rounds_add_up_a_unit_where_its_counts_are(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FOLDS", 3)
+    monkeypatch.setattr(brown, "STRIP", 4)
+    monkeypatch.setattr(brown, "FLUSH", 20)
+    setting = brown.Setting(head=6, classes=2, endings=2)
+    rng, kind = np.random.default_rng(0), np.array([0, 1, 0, 1, 1, 0, 2, 3, 4])
+    counts = {(int(a), int(b)): int(rng.integers(1, 2**40)) for a, b in rng.integers(0, 9, (60, 2))}
+    pairs = spark.createDataFrame([(a * setting.units + b, n) for (a, b), n in counts.items()], "code long, n long").repartition(4)
+    strips = brown.neighbours(pairs, setting)
+    assert strips.select("fold", F.spark_partition_id()).distinct().count() == 3
+    rows = brown.profiles(strips, spark.sparkContext.broadcast(kind), setting).collect()
+    want, k = {}, setting.kinds
+    for (a, b), n in counts.items():
+        cells = [(a, kind[b]), (b, k + kind[a])] + [(a, 2 * k)] * (a == b)
+        for unit, cell in cells:
+            want[unit, int(cell)] = want.get((unit, int(cell)), 0) + n
+    assert {(r.unit, c): n for r in rows for c, n in zip(r.cells, r.n)} == want
+    # a row a unit, not one a neighbour
+    assert len(rows) == len({r.unit for r in rows})
+
+
+def test_good_documents_work_out_the_statistics_once_a_row(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} " * 8, "en", None) for i in range(40)], "doc_id long, text string, lang string, source string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # windows of words are hashed by this expression alone
+    assert plan(quality.good_documents(docs)).count("sequence(0") == plan(quality.statistics(docs)).count("sequence(0") > 0

@@ -236,6 +236,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts are not shuffled."""
+    """The rows of ``docs`` that are kept, with their columns; texts are not shuffled.
+
+    Rows are left out by an explode of none or one, not by a filter: that would move below the
+    statistics, which would then be worked out twice a row in one very large piece of code.
+    """
     stats = materialize(statistics(docs.select("doc_id", "text", "lang", "source")).select("q_lang", "q_group", *_STATS))
-    return judged(statistics(docs), estimates(stats)).where("kept").select("q_row.*")
+    found = judged(statistics(docs), estimates(stats)).select("q_row", "kept")
+    return found.select(F.explode(F.when(F.col("kept"), F.array("q_row"))).alias("q_row")).select("q_row.*")

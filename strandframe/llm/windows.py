@@ -265,7 +265,8 @@ def removed_words(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, cel
     columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
-    held = materialize(chunks(docs, chunk))
+    # a chunk is a row of megabytes
+    held = materialize(chunks(docs, chunk), wide=True)
     n_words = held.agg(F.sum("n_words")).first()[0] or 0
     # a window's fingerprint changes about twice every width - width // 2 + 1 words
     prints = max(1, 2 * n_words // (window - window // 2 + 2))

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+# for rows of megabytes: Parquet looks at a page's and a row group's size from the 100th row on only, and a reader holds a row group at once
+WIDE_ROWS = {
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size": str(16 << 20),
+    "parquet.block.row.count.limit": "8",
+}
 
 
 def local_session(cores: int = 8, name: str = "strandframe", **conf: str) -> SparkSession:
@@ -47,15 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(root, "strandframe-" + uuid.uuid4().hex)
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with data that survives the loss of an executor; used
-    where several consumers need the same expensive rows.
+    where several consumers need the same expensive rows. ``wide`` rows, of megabytes each, are
+    written a few at a time, so that neither writer nor reader holds a hundred of them.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write
+    writer = df.write.options(**WIDE_ROWS) if wide else df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from strandframe.llm import alignment, ranked, windows
@@ -176,6 +177,17 @@ def test_removed_words_equal_all_windows(docs, options):
     assert sum(r[2] for r in want) > 500
 
 
+def test_chunks_are_written_a_few_at_a_time(docs, monkeypatch):
+    # a row group is held by its writer and its reader, and a chunk has megabytes
+    written, plain = [], windows.materialize
+    monkeypatch.setattr(windows, "materialize", lambda df, **options: written.append(plain(df, **options)) or written[-1])
+    got = windows.removed_words(docs.coalesce(1), chunk=1)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written[0].inputFiles()]
+    sizes = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(sizes) > 50 and max(sizes) <= 8
+    assert got.count() == len(ROWS)
+
+
 def test_removed_words_of_nothing(empty):
     assert windows.removed_words(empty).count() == 0
 

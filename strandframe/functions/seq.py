@@ -1,6 +1,6 @@
 """Nucleotide functions as Column expressions (inventory C1-C9, C12-C17, B9, B10).
 
-They stay in the JVM, but for those that look at every k-mer of a read (C1 of a list, C7, C9), which code
+They stay in the JVM, but for those that look at every k-mer of a read (C1 of a list, C7-C9), which code
 a batch of reads at once. Sequences are upper-case strings; letters outside ACGT are IUPAC ambiguity codes.
 """
 
@@ -97,6 +97,8 @@ def kmer_sentence(read: Column | str, k: int, max_length: int = -1) -> Column:
     read = _col(read)
     if max_length > 0:
         read = F.substr(read, F.lit(1), F.lit(max_length))
+    if k <= W.MAX_K:
+        return W.canonical_sentence_column(read, k, (IUPAC + IUPAC.lower(), IUPAC_COMPLEMENT + IUPAC_COMPLEMENT.lower()))
     return F.array_join(kmers(read, k), " ")
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from ..sources.files import read_folder
 
 DENSE_MAX_K = 11
-# vectors that are gathered at once; they stay in a core's cache
-CHUNK_ROWS = 2_048
+# reads whose vectors are added up at once, as their sums stay in a core's cache, and vectors of a read that goes by itself
+GROUP = 256
+LONG = 1_024
 
 
 def _col(c: Column | str) -> Column:
@@ -70,6 +71,11 @@ class VectorTable:
             return np.full(len(codes), -1, dtype=np.int64)
         if len(self.codes) == 1 << (2 * self.k) and np.array_equal(self.codes, np.arange(len(self.codes))):
             return codes
+        if self.k <= DENSE_MAX_K and 1 << (2 * self.k) <= len(codes):
+            # the last place is that of code -1
+            place = np.full((1 << (2 * self.k)) + 1, -1, np.int64)
+            place[self.codes] = np.arange(len(self.codes))
+            return place[codes]
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where(self.codes[at] == codes, at, -1)
 
@@ -79,6 +85,30 @@ for _i, _base in enumerate(b"ACGT"):
     DIGIT[_base] = _i
 
 
+_DIGIT = DIGIT.astype(np.uint8)
+
+
+def _joined(x: np.ndarray, k: int, join) -> np.ndarray:
+    """Value of every window of ``k`` places from values of single ones, by windows of 1, 2, 4, ... places.
+
+    ``join(x, y, s, k)`` makes the value of ``k`` places of those of its first and of its last ``s``.
+    """
+    s = 1
+    while s < k:
+        span = min(2 * s, k)
+        x = join(x[: len(x) - (span - s)], x[span - s :], s, span)
+        s = span
+    return x
+
+
+def _plain(x: np.ndarray, y: np.ndarray, s: int, k: int) -> np.ndarray:
+    return x | y >> 2 * (2 * s - k) << 2 * s
+
+
+def _back(x: np.ndarray, y: np.ndarray, s: int, k: int) -> np.ndarray:
+    return x << 2 * (k - s) | y & (1 << 2 * (k - s)) - 1
+
+
 def kmer_codes(reads: list[str], k: int, strand: str | None, turned: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(read number, code) of every k-mer window in order; code -1 for ambiguous ones.
 
@@ -92,37 +122,59 @@ def kmer_codes(reads: list[str], k: int, strand: str | None, turned: bool = Fals
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty
     letters = np.frombuffer(text, dtype=np.uint8)
-    digit = DIGIT[letters]
+    digit = _DIGIT[letters]
     # a window with a U counts only if it is flipped
     rna = letters == ord("U") if turned and strand is not None and b"U" in text else None
     if rna is not None:
-        digit = np.where(rna, 3, digit)
-    owner = np.repeat(np.arange(len(reads)), lengths)
-    inside = owner[:n] == owner[k - 1 :]
-    bad = np.concatenate(([0], np.cumsum(digit > 3)))
-    bad = bad[k:] - bad[:n] > 0
+        digit = np.where(rna, np.uint8(3), digit)
+    either = lambda x, y, s, k: x | y
+    bad = _joined(digit > 3, k, either)
     if rna is not None:
-        upto = np.concatenate(([0], np.cumsum(rna)))
-        bad |= (upto[k:] - upto[:n] > 0) & (digit[:n] <= 1)
-    plain = np.zeros(n, dtype=np.int64)
-    back = np.zeros(n, dtype=np.int64)
-    for i in range(k):
-        part = digit[i : i + n] & 3
-        plain += part << (2 * i)
-        if strand == "revcomp":
-            back += part << (2 * (k - 1 - i))
-    code = plain
+        bad = bad | _joined(rna, k, either) & (digit[:n] <= 1)
+    known = (digit & 3).astype(np.int32 if k <= 15 else np.int64)
+    code = _joined(known, k, _plain)
     if strand is not None:
         # a letter's complement is 3 less its digit
-        flipped = (1 << (2 * k)) - 1 - (back if strand == "revcomp" else plain)
-        code = np.where(digit[:n] <= 1, plain, flipped)
+        flipped = (1 << (2 * k)) - 1 - (_joined(known, k, _back) if strand == "revcomp" else code)
+        code = np.where(digit[:n] <= 1, code, flipped)
     code[bad] = -1
-    return owner[:n][inside], code[inside]
+    # windows that go on into the next read
+    inside = np.ones(len(text), bool)
+    ends = np.cumsum(lengths)
+    for i in range(1, k):
+        inside[ends[lengths >= i] - i] = False
+    return np.repeat(np.arange(len(reads)), np.maximum(lengths - (k - 1), 0)), code[inside[:n]].astype(np.int64)
+
+
+def row_sums(matrix: np.ndarray, row: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``row`` of a matrix, ``sizes`` of them from ``starts`` on, one after the other.
+
+    The first rows of ``GROUP`` sums are added, then their second ones and so on, the longest sums first.
+    """
+    out = np.zeros((len(starts), matrix.shape[1]))
+    for i in np.flatnonzero(sizes > LONG):
+        for at in range(starts[i], starts[i] + sizes[i], LONG):
+            out[i] += matrix[row[at : min(at + LONG, starts[i] + sizes[i])]].sum(0)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] <= LONG]
+    part = np.empty((min(GROUP, len(order)), matrix.shape[1]))
+    for first in range(0, len(order), GROUP):
+        own = order[first : first + GROUP]
+        size = sizes[own]
+        places = np.arange(size[0])
+        rows = np.take(row, starts[own] + places[:, None], mode="clip")
+        total = matrix[rows[0]]
+        # how many sums have more than i rows
+        for i, m in enumerate(np.searchsorted(-size, -places, "left").tolist()):
+            if i:
+                total[:m] += np.take(matrix, rows[i, :m], axis=0, out=part[:m], mode="clip")
+        out[own] = total
+    return out
 
 
 def _sums(reads: list[str], table: VectorTable, strand: str, turned: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Per read the sum of the vectors of its known k-mers, and their number."""
-    out, n = np.zeros((len(reads), table.matrix.shape[1])), np.zeros(len(reads), np.int64)
+    out = np.zeros((len(reads), table.matrix.shape[1]))
     owner, code = kmer_codes(reads, table.k, strand, turned)
     row = table.rows(code)
     if table.unk_row >= 0 and len(row):
@@ -131,19 +183,10 @@ def _sums(reads: list[str], table: VectorTable, strand: str, turned: bool = Fals
         follows[1:] = unknown[:-1] & (owner[1:] == owner[:-1])
         row = np.where(unknown & ~follows, table.unk_row, row)
     known = row >= 0
-    owner, row = owner[known], row[known]
-    if not len(row):
-        return out, n
-    ids, starts, sizes = np.unique(owner, return_index=True, return_counts=True)
-    ends = starts + sizes
-    first = 0
-    while first < len(ids):
-        # whole reads, about CHUNK_ROWS vectors at a time
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK_ROWS, side="right")))
-        block = table.matrix[row[starts[first] : ends[last - 1]]]
-        out[ids[first:last]] = np.add.reduceat(block, starts[first:last] - starts[first], axis=0)
-        first = last
-    n[ids] = sizes
+    n = np.bincount(owner[known], minlength=len(reads))
+    ids = np.flatnonzero(n)
+    if len(ids):
+        out[ids] = row_sums(table.matrix, row[known], (np.cumsum(n) - n)[ids], n[ids])
     return out, n
 
 
@@ -256,17 +299,11 @@ def embed_words(sentences: pa.Array, words: list[str], matrix: np.ndarray) -> np
     lists = pc.split_pattern(sentences.fill_null(""), " ")
     row = pc.index_in(lists.flatten(), pa.array(words, pa.string())).fill_null(-1).to_numpy()
     owner = pc.list_parent_indices(lists).to_numpy()
-    owner, row = owner[row >= 0], row[row >= 0]
-    if len(row):
-        ids, starts, sizes = np.unique(owner, return_index=True, return_counts=True)
-        ends = starts + sizes
-        first = 0
-        while first < len(ids):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK_ROWS, side="right")))
-            block = matrix[row[starts[first] : ends[last - 1]]]
-            out[ids[first:last]] = np.add.reduceat(block, starts[first:last] - starts[first], axis=0)
-            first = last
-        out[ids] /= sizes[:, None]
+    known = row >= 0
+    n = np.bincount(owner[known], minlength=len(out))
+    ids = np.flatnonzero(n)
+    if len(ids):
+        out[ids] = row_sums(matrix, row[known], (np.cumsum(n) - n)[ids], n[ids]) / n[ids, None]
     return out
 
 

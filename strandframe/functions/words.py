@@ -130,6 +130,39 @@ def plain_words_column(read: Column, k: int, s: int) -> Column:
     return _over_parts(lambda reads: plain_words(reads, k, s), pa.list_(pa.string()), T.ArrayType(T.StringType()))(read)
 
 
+def canonical_sentences(reads: list[str], k: int, complement: tuple[str, str]) -> pa.Array:
+    """Per read its canonical k-mers joined by blanks, ambiguous ones as they are; ``complement``: letters and what they become."""
+    text = "".join(reads)
+    if not text.isascii():
+        flip = str.maketrans(*complement)
+        canonical = lambda w: w if w[0] in "AC" else w.translate(flip)[::-1]
+        return pa.array([" ".join(canonical(r[i : i + k]) for i in range(len(r) - k + 1)) for r in reads], pa.string())
+    lengths = np.fromiter(map(len, reads), np.int64, len(reads))
+    sizes = np.maximum(lengths - (k - 1), 0)
+    letters = np.frombuffer(text.encode(), np.uint8)
+    n = max(0, len(letters) - k + 1)
+    other = np.arange(256, dtype=np.uint8)
+    other[list(complement[0].encode())] = list(complement[1].encode())
+    other = other[letters]
+    stays = (letters[:n] == ord("A")) | (letters[:n] == ord("C"))
+    data = np.full((n, k + 1), ord(" "), np.uint8)
+    for i in range(k):
+        data[:, i] = np.where(stays, letters[i : i + n], other[k - 1 - i : k - 1 - i + n])
+    # neither windows that go on into the next read nor the blank after a read's last one
+    kept = np.ones((n + k, k + 1), bool)
+    ends = np.cumsum(lengths)
+    for i in range(1, k):
+        kept[ends[lengths >= i] - i] = False
+    kept[ends[sizes > 0] - k, k] = False
+    data = data[kept[:n]]
+    offsets = np.concatenate(([0], np.cumsum(np.maximum(sizes * (k + 1) - 1, 0))))
+    return pa.LargeStringArray.from_buffers(len(reads), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
+
+def canonical_sentence_column(read: Column, k: int, complement: tuple[str, str]) -> Column:
+    return _over_parts(lambda reads: canonical_sentences(reads, k, complement), pa.string(), T.StringType())(read)
+
+
 def codes_of(words: pa.Array) -> pa.Array:
     """C1 of words of up to 31 letters, null for those that are not all of ACGT."""
     words = words.cast(pa.large_string())

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandframe.functions import seq as S
+from strandframe.functions import vectors as V
 from strandframe.functions import words as W
 from strandframe.operators import kmers as K
 
@@ -34,6 +35,36 @@ def test_sentences_equal_the_plain_expressions(spark):
     assert "ArrowEval" in df.select(S.kmer_sentence_unk("read", 3))._jdf.queryExecution().toString()
 
 
+def test_whole_sentences_equal_the_plain_expressions(spark):
+    # a batch with letters outside ASCII and one without
+    for rows in (reads(), [r for r in reads() if r is None or r.isascii()]):
+        df = spark.createDataFrame([(r,) for r in rows], "read string")
+        for k in (1, 3, 6):
+            want = F.array_join(plain_words("read", k), " ")
+            assert all(r.a == r.b for r in df.select(want.alias("a"), S.kmer_sentence("read", k).alias("b")).collect())
+    assert "ArrowEval" in df.select(S.kmer_sentence("read", 3))._jdf.queryExecution().toString()
+
+
+def test_sums_of_rows_of_any_number(monkeypatch):
+    rng = np.random.default_rng(2)
+    matrix, sizes = rng.normal(size=(9, 3)), rng.integers(1, 40, 300)
+    starts, row = np.cumsum(sizes) - sizes, rng.integers(0, 9, sizes.sum())
+    for group, long in ((256, 1024), (7, 5), (1, 1)):
+        monkeypatch.setattr(V, "GROUP", group)
+        monkeypatch.setattr(V, "LONG", long)
+        assert np.allclose(V.row_sums(matrix, row, starts, sizes), np.add.reduceat(matrix[row], starts, axis=0))
+
+
+def test_codes_do_not_depend_on_the_other_letters_of_a_batch():
+    texts = [r for r in reads() if r]
+    for k in (1, 2, 5, 12, 15, 16, 31):
+        for strand in ("revcomp", "complement", None):
+            owner, code = V.kmer_codes(texts, k, strand, turned=True)
+            for i, t in enumerate(texts[:40]):
+                assert code[owner == i].tolist() == V.kmer_codes([t], k, strand, turned=True)[1].tolist()
+                assert (owner == i).sum() == max(0, len(t) - k + 1)
+
+
 def test_codes_of_lists_equal_the_codes_of_words(spark):
     df = spark.createDataFrame([(r,) for r in reads()], "read string").withColumn("w", S.kmers("read", 5, strand=None))
     df = df.withColumn("w", F.when(F.length("read") != 1, F.concat("w", F.array(F.lit("ACG"), F.lit(None), F.lit("")))))

@@ -272,6 +272,15 @@ def code_counts_column(read: Column, k: int, strand: str | None) -> Column:
 def tiled(owner: np.ndarray, reads: list[str | None], k: int, s: int, most: int = LETTERS) -> Iterator[tuple[np.ndarray, list[str]]]:
     """(owners, pieces) of about ``most`` letters: a longer read in pieces that together have each of its windows once."""
     step = max(1, most // s) * s
+    sizes = np.fromiter((len(r) if r else 0 for r in reads), np.int64, len(reads))
+    if sizes.max(initial=0) <= step:
+        # no read is cut
+        upto, first = np.cumsum(sizes), 0
+        while first < len(reads):
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] - sizes[first] + most, "right")))
+            yield owner[first:last], [r or "" for r in reads[first:last]]
+            first = last
+        return
     rows, pieces, size = [], [], 0
     for row, read in zip(owner.tolist(), reads):
         for at in range(0, max(1, len(read or "") - k + 1), step):
@@ -345,7 +354,7 @@ def counter(k: int, s: int, strand: str | None, by: list[str]):
             own[members.flatten().to_numpy()] = np.repeat(np.arange(len(groups)), np.diff(members.offsets.to_numpy()))
             groups = groups.select(by)
         else:
-            own = np.zeros(len(batch), np.int64)
+            groups, own = groups.slice(0, 1), np.zeros(len(batch), np.int64)
         for rows, pieces in tiled(own, batch.column("read").to_pylist(), k, s):
             owner, code = kmer_codes(pieces, k, strand)
             if s > 1:

@@ -84,6 +84,17 @@ def test_counts_equal_the_plain_count_whatever_a_task_holds(spark, monkeypatch):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_counts_without_groups_add_up_where_they_are(monkeypatch):
+    import pyarrow as pa
+
+    # one group whatever the number of reads: k-mers are counted by place, not sorted
+    monkeypatch.setattr(np, "lexsort", None)
+    monkeypatch.setattr(W, "HELD", 1 << 10)
+    batch = pa.record_batch({"read": pa.array(["ACGTN", None, "AACG"] * 100, pa.string())})
+    got = {r["code"]: r["n"] for t in W.counter(3, 1, None, [])(iter([batch])) for r in t.to_pylist()}
+    assert got == {0b100100: 200, 0b111001: 100, 0b010000 | 0b000000: 100}
+
+
 def test_long_reads_are_cut_into_pieces_with_every_window_once(monkeypatch):
     read = "".join(random.Random(3).choice("ACGT") for _ in range(97))
     for s in (1, 3):

@@ -47,6 +47,16 @@ def test_word_vectors_of_words_in_one_context_are_closer(spark):
         assert min(cos("AAA", "AAC"), cos("CCA", "CCG")) > max(cos("AAA", "CCC"), cos("AAG", "CCA"))
 
 
+def test_word2vec_trains_in_a_task_per_core(spark, monkeypatch):
+    given, plain = [], E.Word2Vec
+    monkeypatch.setattr(E, "Word2Vec", lambda **options: given.append(options["numPartitions"]) or plain(**options))
+    sentences = spark.createDataFrame([(["AAA", "AAC", "CCA"],)] * 20, "words array<string>")
+    for least in (1, 7):
+        got = E.word2vec_train(sentences, vector_size=4, iterations=1, num_partitions=least).collect()
+        assert {r.kmer for r in got} == {"AAA", "AAC", "CCA"}
+    assert given == [max(1, spark.sparkContext.defaultParallelism), 7]
+
+
 def plain_pairs(sentences, window):
     out = {}
     for s in sentences:

@@ -36,6 +36,18 @@ def test_abundance_has_rows_for_more_genomes_than_a_pivot_has_columns(spark):
         spark.conf.unset("spark.sql.pivotMaxValues")
 
 
+def test_cells_without_threshold_or_mates_shuffle_predictions_once(spark):
+    vectors = spark.createDataFrame([("A", [1.0])], "kmer string, vector array<double>")
+    reads = spark.createDataFrame([("s", "g", f"r{i}", "AAC") for i in range(9)], "sample_id string, grp string, read_id string, read string")
+    # a prediction of a read that isn't there, one of a read without id, a read with two
+    pred = [("s", "r1", 1, 0.5), ("s", "r1", 2, 0.5), ("s", "gone", 3, 0.9), ("s", None, 4, 0.9)]
+    pred = spark.createDataFrame(pred, "sample_id string, read_id string, predict bigint, prob double")
+    cells = G.sample_cells(reads, vectors, 1, pred, 0.0, paired=False)
+    assert "Semi" not in plan(cells)
+    assert re.search(r"rangepartitioning\([^)]*genome\S* ASC[^)]*__part", plan(cells))
+    assert {r.genome: (r["count"], r.embedding[0]) for r in cells.collect()} == {1: (1, 1.0), 2: (1, 1.0), None: (8, 8.0)}
+
+
 def test_cells_are_embedded_once_and_summed_by_genome(spark):
     vectors = spark.createDataFrame([("A", [1.0, 0.0]), ("C", [0.0, 1.0])], "kmer string, vector array<double>")
     rows = [("s1" if i % 3 else "s2", "g", f"r{i}", "AAC" if i % 2 else "CC") for i in range(60)]

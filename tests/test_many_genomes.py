@@ -112,6 +112,23 @@ def test_split_of_small_strata_sorts_each_once(spark, monkeypatch):
     assert D.stratified_split(reads.limit(0), ["read_id"]).count() == 0
 
 
+def test_split_and_shares_shuffle_little(spark, monkeypatch):
+    rows = [(f"r{i}", i % 3 if i % 7 else None, "s", f"sim{i % 2}" if i % 5 else None) for i in range(60)]
+    reads = spark.createDataFrame(rows, "read_id string, tax_id bigint, species string, sim_id string")
+    # the 32 letters of a row's order are made behind the shuffle
+    split = D.stratified_split(reads, ["read_id"])
+    assert plan(split).index("md5(") < plan(split).index("REPARTITION_BY_COL")
+    assert split.count() == 60
+    # reads stay where they are while the shares are few, and the result is that of the shuffle
+    few = D.class_proportion(reads)
+    assert "Exchange hashpartitioning" not in plan(few)
+    monkeypatch.setattr(D, "SHARES", 0)
+    got = {r.read_id: r.prop for r in few.collect()}
+    assert got == {r.read_id: r.prop for r in D.class_proportion(reads).collect()} and len(got) == 60
+    sizes = {s: sum(r[3] == s for r in rows) for s in (None, "sim0", "sim1")}
+    assert got == {r[0]: pytest.approx(sum(x[1] == r[1] and x[3] == r[3] for x in rows) / sizes[r[3]]) for r in rows}
+
+
 def test_dataset_of_reads_is_labelled_and_split_once(spark):
     fastq = spark.createDataFrame([(f"@r{i}-1", "ACGT") for i in range(4)], "read_id string, read string")
     mapping = spark.createDataFrame([(f"r{i}", "genome_1", "x") for i in range(4)], "anonymous_read_id string, genome_id string, tax_id string")
